@@ -299,9 +299,11 @@ def fit(samples: list[str], steps: int = 80) -> Field:
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 256) -> Field:
-    """Fits on at most sample_rows rows, those of smallest hash of the id."""
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(sample_rows).collect()
-    return fit([r.t or "" for r in rows])
+    """Fits on at most sample_rows rows, those of smallest hash of the id. The ids are chosen first, so that only their texts are sent."""
+    ids = docs.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("h"), "id", "text").collect()
+    # Rows that repeat an id could break the bound, so it is held here as well.
+    return fit([r.text for r in sorted(rows, key=lambda r: (r.h, r.id, r.text))[:sample_rows]])
 
 
 def find(texts: list[str], data: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int, int]]]:
