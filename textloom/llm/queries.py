@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from textloom.llm import licenses, mixing
+from textloom.llm import licenses, mixing, warc
 from textloom.llm.langid import op6_language_id
 from textloom.llm.licenses import op3_license_scan
 from textloom.llm.mixing import op5_mixing
+from textloom.llm.neardup import op1_probminhash
 from textloom.llm.pieces import op7_sentencepiece
 from textloom.llm.quality import op9_quality_rules
 from textloom.llm.secrets import op10_secret_scan
 from textloom.llm.syncmers import op4_syncmers
 from textloom.llm.toxicity import op2_toxicity
+from textloom.llm.warc import op8_warc
 
 QUERIES = {
+    "op1_probminhash": op1_probminhash,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_syncmers": op4_syncmers,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL}
