@@ -182,9 +182,9 @@ def public_model(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, batch: int = 64) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_bounds: bool = False, batch: int = 64) -> DataFrame:
     """Per row: the id, n_tokens, digests of the ids, of the decoded text and of the pieces' byte bounds, the
-    number of original bytes that the pieces cover, and with with_ids the ids and bounds themselves."""
+    number of original bytes that the pieces cover, and on demand the ids and the bounds themselves."""
 
     def run(batches):
         enc = encoder(model_file)
@@ -203,12 +203,14 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                     pa.array([int(e[-1] - e[0]) for _, e in got], pa.int64()),
                 ]
                 if with_ids:
-                    cols += [pa.array(ids, pa.list_(pa.int32())), pa.array([e.tolist() for _, e in got], pa.list_(pa.int64()))]
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                if with_bounds:
+                    cols.append(pa.array([e for _, e in got], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "bounds_sha256", "n_bytes"] + ["ids", "bounds"] * with_ids
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "bounds_sha256", "n_bytes"] + ["ids"] * with_ids + ["bounds"] * with_bounds
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, bounds_sha256 string, n_bytes long" + ", ids array<int>, bounds array<long>" * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, bounds_sha256 string, n_bytes long" + ", ids array<int>" * with_ids + ", bounds array<long>" * with_bounds
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
