@@ -10,7 +10,8 @@ stand in it.
 
 Only DataFrame functions are used. The templates are a fixed list, so their
 table has a fixed size and is broadcast. Of the exploded words only hits are
-kept; the join back to the documents carries no text.
+kept, and one mark a text that carries its number of words; texts are read once
+and not shuffled.
 
 Edge cases: null counts as empty; a text without words has counts 0, null
 places, empty labels and score 0. Repeated rows get a row each, with like
@@ -31,8 +32,9 @@ from textloom.llm import scratch
 K = 3
 #: Diagonals this far apart are merged; the part of a template's runs that a span must have.
 APART, COVER = 2, 0.6
-#: Words, in a text as it is: letters of either case, digits and all beyond ASCII.
+#: Words, in a text as it is: letters of either case, digits and all beyond ASCII; and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases of the base rule and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Short notices of common licenses, by label. One label can have several.
@@ -84,19 +86,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = spark.sql(f"SELECT *, xxhash64(a, b, c) AS h FROM VALUES {_values(template_grams())} AS t(template, label, t, runs, a, b, c)")
     base3 = {tuple(p.split()): label for p, label in BASE.items() if len(p.split()) == 3}
     base2 = {tuple(p.split()): label for p, label in BASE.items() if len(p.split()) == 2}
-    w = F.regexp_extract_all(_lower(F.col("text")), F.lit(WORD), F.lit(0))
+    # A null after the last word is a mark that every text has: its place is the number of words. So one pass finds both.
+    w = F.concat(F.array_remove(F.split(_lower(F.col("text")), BETWEEN), ""), F.array(F.lit(None).cast("string")))
     far = F.lit(2**31 - 1)
     rows = d.select("id", "tie", w.alias("w")).select("id", "tie", F.posexplode(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, far).alias("y"), F.slice("w", 3, far).alias("z"))).alias("p", "g"))
-    rows = rows.where(F.col("g.x").isNotNull()).select("id", "tie", F.col("p").cast("long").alias("p"), F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.col("g.z").alias("z"))
+    rows = rows.select("id", "tie", F.col("p").cast("long").alias("p"), F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.col("g.z").alias("z"))
     phrase = F.lit(None).cast("string")
     for (a, b), label in base2.items():
         phrase = F.when((F.col("x") == a) & (F.col("y") == b), label).otherwise(phrase)
     for (a, b, c), label in base3.items():
         phrase = F.when((F.col("x") == a) & (F.col("y") == b) & (F.col("z") == c), label).otherwise(phrase)
     same = (F.xxhash64("x", "y", "z") == F.col("h")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")) & (F.col("z") == F.col("c"))
-    hits = rows.join(F.broadcast(grams), same, "left").withColumn("phrase", phrase).where(F.col("phrase").isNotNull() | F.col("template").isNotNull())
-    # Repeated rows would vote twice.
-    hits = scratch.write(hits.select("id", "tie", "p", "phrase", "template", "label", "t", "runs").distinct())
+    mark = F.col("x").isNull()
+    hits = rows.join(F.broadcast(grams), same, "left").withColumn("phrase", phrase).where(mark | F.col("phrase").isNotNull() | F.col("template").isNotNull())
+    # Repeated rows would vote twice; how often a row stands is kept.
+    hits = scratch.write(hits.groupBy("id", "tie", "p", mark.alias("mark"), "phrase", "template", "label", "t", "runs").agg(F.count("*").alias("rows")))
 
     base = hits.where(F.col("phrase").isNotNull()).select("id", "tie", "p", "phrase").distinct().groupBy("id", "tie").agg(F.count("*").alias("n_base"), F.min("p").alias("first_word"), F.max("p").alias("last_word"), F.collect_set("phrase").alias("base_set"))
     line = hits.where(F.col("template").isNotNull()).withColumn("diagonal", F.col("p") - F.col("t")).groupBy("id", "tie", "template", "label", "runs", "diagonal").agg(F.collect_set("t").alias("ts"))
@@ -108,8 +112,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     notices = notices.withColumnsRenamed({"id": "id2", "tie": "tie2"})
     found = base.join(notices, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")), "full").select(F.coalesce("id", "id2").alias("i"), F.coalesce("tie", "tie2").alias("k"), "n_base", "first_word", "last_word", "base_set", "label_set", "best", "n_notices")
     none = F.array().cast("array<string>")
-    count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    out = d.select("id", "tie", count.alias("n_words")).join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("k")), "left")
+    ends = hits.where("mark").select("id", "tie", F.col("p").alias("n_words"), "rows")
+    out = ends.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("k")), "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     joined = lambda *xs: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.col(x), none) for x in xs]))), ",")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", joined("base_set").alias("base_labels"), joined("base_set", "label_set").alias("labels"),
