@@ -8,18 +8,21 @@ next arrival is later than every component's first. The chance that two
 sketches agree in a component is the probability Jaccard similarity; for equal
 weights that is the Jaccard similarity.
 
-Texts whose sketches agree in a band are candidates. A pair is linked if its
-exact probability Jaccard or Jaccard similarity is ``threshold`` or more, and
+Texts whose sketches agree in a band are candidates. A pair is linked if the
+exact Jaccard similarity of its sets of shingles is ``threshold`` or more, and
 classes are the connected components of the links; the class id is the
 smallest id in it.
 
 Scale and skew: exact copies are first reduced to one representative. In a
-bucket, members are verified against one pivot instead of each other; then
-only buckets whose members still lie in different components go on, with new
-pivots, and at the end the pairs across components that no pivot has tested
-are verified one by one. So every pair of a bucket is tested or already in one
-class, though pairs within a class of thousands are never listed. Nothing is
-collected; lineage is cut by tables in the shared folder.
+bucket, members are verified against one pivot instead of each other. Buckets
+whose members still lie in different components go on with new pivots as long
+as that finds links. What is then left open, such as large groups that stay
+just under the threshold, is settled exactly by a prefix-filtered similarity
+join: two sets that are similar enough share one of their few rarest shingles,
+and pairs of different components that do are verified. So no link between
+members of a bucket is lost, and pairs within a class of thousands are never
+listed. Nothing is collected but counts and a table of counters of fixed size;
+lineage is cut by tables in the shared folder.
 
 Edge cases: null counts as empty. Texts of one to four words are one shingle;
 texts without words are only like exact copies. Rows of one id are one
@@ -41,9 +44,14 @@ from textloom.llm import scratch
 from textloom.llm import textbytes as tb
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 25, 5
-#: Rounds of pivots, and pairs a member up to which the rest is tested one by one.
-ROUNDS, PAIRS = 8, 12
+BANDS, ROWS = 32, 8
+#: Rounds of pivots at most; a round that links less than this part of what is open is the last.
+ROUNDS, WORTH = 8, 0.02
+#: Counters of shingles for the prefix filter. They only set an order, so a fixed number does for any input.
+COUNTERS = 1 << 16
+#: A pair whose sketches agree in less than this part of their components is far from any link: at a similarity of 0.8
+#: the part has a standard deviation of 0.025, so that a link falls short about once in ten million.
+ROUGH = 0.67
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -85,23 +93,28 @@ def bands(sketches: np.ndarray, b: int = BANDS, r: int = ROWS) -> np.ndarray:
     return np.stack([tb.combine([np.full(len(sketches), i, np.uint64), *(sketches[:, i * r + j] for j in range(r))]) for i in range(b)], 1)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """(probability Jaccard, Jaccard) of two texts, each given by its shingles and their weights."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets given as sorted arrays."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two texts, each given by its sorted shingles and their weights: what sketches estimate."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
-        return 0.0, 0.0
-    plain = len(both) / (len(a[0]) + len(b[0]) - len(both))
+        return 0.0
     x, y = a[1][i], b[1][j]
     only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
     order = np.argsort(-(x / y), kind="stable")
     x, y = x[order], y[order]
     # The sum over j of max(x_j / x_i, y_j / y_i): the first is larger for ratios x_j / y_j of at least i's own.
     above, below = np.cumsum(x), y.sum() - np.cumsum(y)
-    return float((1 / ((only_x + above) / x + (only_y + below) / y)).sum()), plain
+    return float((1 / ((only_x + above) / x + (only_y + below) / y)).sum())
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the text) and bands (null for texts without words)."""
+    """id, key (128-bit hash of the text), bands (empty for texts without words) and rough: a byte of each component of the sketch."""
 
     def run(batches):
         for batch in batches:
@@ -109,20 +122,38 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in tb.blocks(offsets):
                 own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 text, gram, count = shingles(own, off)
-                got = bands(sketch(text, gram, weights(count), j - i))
+                full = sketch(text, gram, weights(count), j - i)
+                got = bands(full)
                 some = np.bincount(text, minlength=j - i) > 0
                 flat = pa.array(got[some].ravel().view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 arr = pa.ListArray.from_arrays(pa.array(ends), flat)
                 keys = [xxhash.xxh3_128_digest(own[off[k] : off[k + 1]].tobytes()) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), arr], names=["id", "key", "bands"])
+                rough = [x.tobytes() for x in (full >> np.uint64(56)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), arr, pa.array(rough, pa.binary())], names=["id", "key", "bands", "rough"])
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>, rough binary")
+
 
+def _close(pairs: DataFrame, rough: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree well enough for a closer look."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+                keep = (a == b).mean(1) >= ROUGH
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    kind = pairs.schema["a"].dataType.simpleString()
+    left, right = rough.withColumnsRenamed({"id": "ia", "rough": "ra"}), rough.withColumnsRenamed({"id": "ib", "rough": "rb"})
+    return pairs.join(right, F.col("b") == F.col("ib")).join(left, F.col("a") == F.col("ia")).select("a", "b", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _verified(pairs: DataFrame, rough: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole texts."""
+    pairs = scratch.write(_close(pairs, rough))
 
     def run(batches):
         for batch in batches:
@@ -140,12 +171,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                             texts.append(batch.column(c)[hi].as_py())
                             size += int(sizes[c - 2][hi])
                     hi += 1
-                text, gram, count = shingles(*tb.column_bytes(pa.array(texts, pa.large_string())))
+                text, gram, _ = shingles(*tb.column_bytes(pa.array(texts, pa.large_string())))
                 order = np.lexsort((gram, text))
-                gram, w = gram[order], weights(count[order])
+                gram = gram[order]
                 cut = np.searchsorted(text[order], np.arange(len(texts) + 1))
-                one = lambda k: (gram[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]])  # noqa: E731, B023
-                keep = [i for i in range(lo, hi) if max(similarity(one(at[a[i]]), one(at[b[i]]))) >= threshold]
+                one = lambda k: gram[cut[k] : cut[k + 1]]  # noqa: E731, B023
+                keep = [i for i in range(lo, hi) if jaccard(one(at[a[i]]), one(at[b[i]])) >= threshold]
                 if keep:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
                 lo = hi
@@ -176,13 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: its id, class_id (the smallest id of its class) and is_first (whether it is that one)."""
+    tb.bound_batches(docs.sparkSession)
     sketched = scratch.write(_sketched(docs, id_col, text_col))
     reps = scratch.write(sketched.where(F.col("id").isNotNull()).groupBy("key").agg(F.min("id").alias("rep")))
     own = sketched.where(F.col("bands").isNotNull()).join(reps.withColumnRenamed("key", "k"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k")), "left_semi")
     banded = scratch.write(own.select("id", F.explode("bands").alias("h")).distinct())
     shared = scratch.write(banded.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select(F.col("h").alias("h2"), "pivot"))
     members = scratch.write(banded.join(shared, F.col("h") == F.col("h2")).select("h", "id", "pivot"))
-    edges = _links(docs, members, id_col, text_col, threshold)
+    edges = _links(docs, sketched, members, id_col, text_col, threshold)
     if edges is None:
         classes = reps.select(F.col("key").alias("k"), F.col("rep").alias("class"))
     else:
@@ -192,7 +224,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.coalesce(F.col("id") == F.col("class"), F.lit(True)).alias("is_first"))
 
 
-def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame | None:
+def _links(docs: DataFrame, sketched: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame | None:
     """Verified links enough to join all that the buckets' pairs join; None if no bucket has two members."""
     ids = scratch.write(members.select("id").distinct())
     n = ids.count()
@@ -200,33 +232,84 @@ def _links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, thre
         return None
     wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id", "left_semi")
     texts = scratch.write(wanted.dropDuplicates(["id"]))
+    rough = scratch.write(sketched.select("id", "rough").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     tested = scratch.write(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    edges = scratch.write(_verified(tested, texts, threshold))
+    edges = scratch.write(_verified(tested, rough, texts, threshold))
+    # Buckets whose members are all linked to their pivot are settled.
+    linked = edges.withColumnsRenamed({"a": "la", "b": "lb"})
+    loose = members.where("id <> pivot").join(linked, (F.col("pivot") == F.col("la")) & (F.col("id") == F.col("lb")), "left_anti")
+    loose = scratch.write(loose.groupBy("h").agg(F.count("*").alias("n")).where("n > 0").select("h"))
+    open_ = scratch.write(members.select("h", "id").join(loose, "h", "left_semi"))
     for turn in range(1, ROUNDS + 1):
         labels = components(edges)
-        placed = members.select("h", "id").join(labels, F.col("id") == F.col("v"), "left").select("h", "id", F.coalesce("c", "id").alias("c"))
-        sizes = placed.groupBy("h", "c").agg(F.count("*").cast("double").alias("s")).groupBy("h").agg(F.min("c").alias("first"), F.count("*").alias("k"), F.sum("s").alias("all"), F.sum(F.col("s") * F.col("s")).alias("square")).where("k > 1")
-        mixed = scratch.write(sizes.select(F.col("h").alias("h2"), "first", ((F.col("all") * F.col("all") - F.col("square")) / 2).alias("pairs")))
-        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p")).first().p
-        if not left:
-            break
+        placed = open_.select("h", "id").join(labels, F.col("id") == F.col("v"), "left").select("h", "id", F.coalesce("c", "id").alias("c"))
+        mixed = scratch.write(placed.groupBy("h").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select(F.col("h").alias("h2"), "first"))
+        if mixed.isEmpty():
+            return edges
         open_ = scratch.write(placed.join(mixed, F.col("h") == F.col("h2")).select("h", "id", "c", "first"))
-        last = left <= PAIRS * n or turn == ROUNDS
-        if last:
-            other = open_.select(F.col("h").alias("h2"), F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = open_.join(other, (F.col("h") == F.col("h2")) & (F.col("c") < F.col("c2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        else:
-            # A pivot from outside the first component, the same one for all buckets that hold the same members.
-            pivots = scratch.write(open_.where("c <> first").groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("p")).select(F.col("h").alias("h2"), F.col("p.id").alias("pivot"), F.col("p.c").alias("pc")))
-            pairs = open_.join(pivots, F.col("h") == F.col("h2")).where("c <> pc").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        # A pivot from outside the first component, the same one for all buckets that hold the same members.
+        pivots = scratch.write(open_.where("c <> first").groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("p")).select(F.col("h").alias("h2"), F.col("p.id").alias("pivot"), F.col("p.c").alias("pc")))
+        pairs = open_.join(pivots, F.col("h") == F.col("h2")).where("c <> pc").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         seen = tested.select("a", "b").union(tested.select("b", "a")).withColumnsRenamed({"a": "sa", "b": "sb"})
         pairs = scratch.write(pairs.distinct().join(seen, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti"))
-        found = scratch.write(_verified(pairs, texts, threshold))
+        found = scratch.write(_verified(pairs, rough, texts, threshold))
         edges = scratch.write(edges.union(found))
-        if last:
+        if found.count() < WORTH * open_.select("id").distinct().count():
             break
         tested = scratch.write(tested.union(pairs))
-    return edges
+    labels = components(edges)
+    rest = open_.select("id").distinct().join(labels, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("c"))
+    pairs = scratch.write(_prefix_pairs(texts.join(scratch.write(rest), "id"), threshold))
+    return scratch.write(edges.union(_verified(pairs, rough, texts, threshold)))
+
+
+def _prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Of texts (id, text, c): the pairs (a, b) with different c that may have a Jaccard similarity of threshold or more; none that has is left out.
+
+    In any one order of all shingles, two such sets share one of the first n - ceil(t * n) + 1 shingles of the larger and
+    of the first n - ceil(2t / (1 + t) * n) + 1 of the smaller. The order is by a shingle's counter, so these are rare ones.
+    """
+
+    def counted(batches):
+        for batch in batches:
+            data, offsets = tb.column_bytes(batch.column(1))
+            total = np.zeros(COUNTERS, np.int64)
+            for i, j in tb.blocks(offsets):
+                _, gram, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                total += np.bincount((gram % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    spark = texts.sparkSession
+    table = np.zeros(COUNTERS, np.int64)
+    for r in texts.select("id", "text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        table[r.slot] = r.n
+    sent = spark.sparkContext.broadcast(table)
+    t = threshold
+
+    def prefixes(batches):
+        for batch in batches:
+            data, offsets = tb.column_bytes(batch.column(1))
+            for i, j in tb.blocks(offsets):
+                text, gram, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                order = np.lexsort((gram, sent.value[(gram % np.uint64(COUNTERS)).astype(np.int64)], text))
+                text, gram = text[order], gram[order]
+                n = np.bincount(text, minlength=j - i)
+                place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                size = n[text]
+                # A hair under, so that rounding never takes an overlap for too small.
+                probe, index = size - np.ceil(t * size - 1e-9) + 1, size - np.ceil(2 * t / (1 + t) * size - 1e-9) + 1
+                keep = place < probe
+                at = pa.array(text[keep] + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(size[keep]), pa.array(place[keep]), pa.array((place < index)[keep]), pa.array(gram[keep].view(np.int64))], names=["id", "c", "n", "p", "first", "g"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = scratch.write(texts.select("id", "text", "c").mapInArrow(prefixes, f"id {kind}, c {kind}, n long, p long, first boolean, g long"))
+    x = rows.select(*[F.col(k).alias(f"x{k}") for k in ("id", "c", "n", "p", "g")])
+    y = rows.where("first").select(*[F.col(k).alias(f"y{k}") for k in ("id", "c", "n", "p", "g")])
+    room = 1 + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
+    near = (F.col("xg") == F.col("yg")) & (F.col("xc") != F.col("yc")) & ((F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid")))) & (F.col("yn") >= t * F.col("xn") - 1e-9) & (room >= t / (1 + t) * (F.col("xn") + F.col("yn")) - 1e-9)
+    return x.join(y, near).select(F.col("yid").alias("a"), F.col("xid").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

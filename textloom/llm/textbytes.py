@@ -15,13 +15,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 LONG_SPAN = 512
 
 _U = np.uint64
 _MUL1, _MUL2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
 
+def bound_batches(spark, rows: int = 1000, size: str = "16m") -> None:
+    """Lowers Spark's default limits of an Arrow batch, so that a Python worker holds a few megabytes of texts; limits that somebody has set stay."""
+    for key, default, new in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key, default) in (default, None):
+            spark.conf.set(key, new)
+
+
 def _table(chars) -> np.ndarray:
     t = np.zeros(256, bool)
     t[list(chars)] = True
