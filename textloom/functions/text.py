@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 NOT_BEFORE, NOT_AFTER = rf"(?<!{WORD_CHAR})", rf"(?!{WORD_CHAR})"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f uses it: a lambda's variable is bound to a value, where a column would be copied into every place."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
@@ -34,7 +41,7 @@ def word_count(c: Column) -> Column:
 
 def capitalize(c: Column) -> Column:
     """First letter upper, all others lower."""
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 2**31 - 1)))
+    return let(c, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 2**31 - 1))))
 
 
 def fold_replace(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -44,7 +51,7 @@ def fold_replace(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def preview(c: Column, n: int) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
+    return let(c, lambda x: F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("..."))).otherwise(x))
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -52,5 +59,19 @@ def lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def round_half_even(c: Column, digits: int = 0) -> Column:
-    return F.bround(c, digits)
+def fixed(x: Column, digits: int) -> Column:
+    """A number under 8 with so many decimals, as a string, rounded as Python does: by its exact binary value, half to even.
+
+    Java rounds the shortest decimal form, which differs where that form ends in a 5 just past the last digit.
+    There x * 2^60 is an exact integer and tells on which side of the half x lies.
+    """
+
+    def on_edge(v: Column) -> Column:
+        edge = F.replace(v.cast("string"), F.lit("."), F.lit("")).cast("decimal(20,0)")
+        exact = (v * F.lit(2.0**60)).cast("long").cast("decimal(20,0)") * F.lit(10 ** (digits + 1)).cast("decimal(12,0)")
+        half = edge * F.lit(2**60).cast("decimal(18,0)" if 2**60 < 10**18 else "decimal(19,0)")
+        low = F.floor(edge / 10)
+        up = (exact > half) | ((exact == half) & (low % 2 == 1))
+        return F.format_string(f"%.{digits}f", (low + F.when(up, 1).otherwise(0)).cast("double") / 10.0**digits)
+
+    return let(x, lambda v: F.when(F.rlike(v.cast("string"), F.lit(rf"^\d+\.\d{{{digits}}}5$")), on_edge(v)).otherwise(F.format_string(f"%.{digits}f", v)))

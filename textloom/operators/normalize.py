@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import fold_replace, strip
+from textloom.functions.text import fold_replace, let, strip
 
 #: Signs that the maps of signs and Greek letters can change.
 _SIGNS = "[" + "".join(a for a, _ in lexicon.MATH + lexicon.GREEK) + "]"
@@ -34,14 +34,14 @@ def unescape_html(c: Column) -> Column:
 def normalize_native(c: Column) -> Column:
     """All steps after the first, on text whose entities are resolved."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    c = F.when(F.contains(c, F.lit("`")), F.regexp_replace(F.regexp_replace(c, r"```[\s\S]*?```", " "), r"`([^`]+)`", "$1")).otherwise(c)
-    tex = F.regexp_replace(c, r"\\[a-zA-Z]+\{([^}]*)\}", "$1")
-    tex = F.regexp_replace(fold_replace(tex, lexicon.LATEX), r"\\[a-zA-Z]+", " ")
+    code = lambda x: F.regexp_replace(F.regexp_replace(x, r"```[\s\S]*?```", " "), r"`([^`]+)`", "$1")
+    tex = lambda x: F.regexp_replace(fold_replace(F.regexp_replace(x, r"\\[a-zA-Z]+\{([^}]*)\}", "$1"), lexicon.LATEX), r"\\[a-zA-Z]+", " ")
+    c = let(c, lambda x: F.when(F.contains(x, F.lit("`")), code(x)).otherwise(x))
     # Every LaTeX rule has a backslash in what it looks for.
-    c = F.when(F.contains(c, F.lit("\\")), tex).otherwise(c)
+    c = let(c, lambda x: F.when(F.contains(x, F.lit("\\")), tex(x)).otherwise(x))
     c = F.regexp_replace(c, r"[\$\^_{}\[\]\\]", " ")
-    c = F.when(F.rlike(c, F.lit(_TYPOGRAPHY)), fold_replace(c, lexicon.TYPOGRAPHY)).otherwise(c)
-    c = F.when(F.rlike(c, F.lit(_SIGNS)), fold_replace(c, lexicon.MATH + lexicon.GREEK)).otherwise(c)
+    c = let(c, lambda x: F.when(F.rlike(x, F.lit(_TYPOGRAPHY)), fold_replace(x, lexicon.TYPOGRAPHY)).otherwise(x))
+    c = let(c, lambda x: F.when(F.rlike(x, F.lit(_SIGNS)), fold_replace(x, lexicon.MATH + lexicon.GREEK)).otherwise(x))
     c = F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ \n\t]]", "")
     c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s.,;:!?\-'\"]", " ")
     c = F.regexp_replace(c, r"[ \t]+", " ")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import NOT_AFTER, NOT_BEFORE, NOT_SPACE, lookup, tokens, word_count
+from textloom.functions.text import NOT_AFTER, NOT_BEFORE, NOT_SPACE, fixed, let, lookup, tokens, word_count
 from textloom.operators.chunk import detector_sentences
 from textloom.operators.normalize import normalize
 
@@ -31,9 +31,8 @@ def tenths(found: Column, table: dict[str, int]) -> Column:
 
 def canned_phrases(text: Column) -> Column:
     """The canned phrases in a text, in the order of the list, each once."""
-    low = F.lower(text)
-    found = [F.when(F.contains(low, F.lit(p)) & F.rlike(low, F.lit(f"{NOT_BEFORE}{p}{NOT_AFTER}")), F.lit(p)) for p in lexicon.CANNED]
-    return F.array_compact(F.array(*found))
+    found = lambda low: [F.when(F.contains(low, F.lit(p)) & F.rlike(low, F.lit(f"{NOT_BEFORE}{p}{NOT_AFTER}")), F.lit(p)) for p in lexicon.CANNED]
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*found(low))))
 
 
 def opener(sentence: Column) -> Column:
@@ -123,13 +122,13 @@ def analysis(docs: DataFrame, text_col: str = "text", entities: bool = True) ->
         F.when(F.size("_ai") > 0, F.concat(F.lit("AI academic/rhetorical markers detected: "), _listed(_markers("_ai")))),
         F.when(F.size("_human") > 0, F.concat(F.lit("Colloquial human phrasing detected: "), _listed(_markers("_human")))),
         F.when(F.size("_canned") > 0, F.concat(F.lit("Typical LLM canned phrases detected: "), _listed(F.col("_canned")))),
-        F.when(F.col("_uniform"), F.format_string("Uniform sentence cadence (CV: %.2f)", "_cv")).when(F.col("_varied"), F.format_string("High human rhythm variance (CV: %.2f)", "_cv")),
-        F.when(F.col("_formal"), F.format_string("Controlled lexical dispersion ratio (%.2f)", "_ttr")),
+        F.when(F.col("_uniform"), F.format_string("Uniform sentence cadence (CV: %s)", fixed(F.col("_cv"), 2))).when(F.col("_varied"), F.format_string("High human rhythm variance (CV: %s)", fixed(F.col("_cv"), 2))),
+        F.when(F.col("_formal"), F.format_string("Controlled lexical dispersion ratio (%s)", fixed(F.col("_ttr"), 2))),
         F.when(F.col("_opens"), F.format_string("Monotonous sentence openers (%s: %d%%)", F.initcap("_mode.item"), F.floor(F.col("_mode.n") / F.col("_k") * 100))),
     ))
     shown = lambda c: F.when(~short, c)
     metrics = F.struct(
-        shown(F.bround("_cv", 4)).alias("burstiness_cv"), shown(F.bround("_std", 2)).alias("sentence_stddev"), shown(F.bround("_ttr", 4)).alias("type_token_ratio"), shown(_markers("_ai")).alias("ai_markers_found"),
+        shown(fixed(F.col("_cv"), 4).cast("double")).alias("burstiness_cv"), shown(F.bround("_std", 2)).alias("sentence_stddev"), shown(fixed(F.col("_ttr"), 4).cast("double")).alias("type_token_ratio"), shown(_markers("_ai")).alias("ai_markers_found"),
         shown(_markers("_human")).alias("human_markers_found"), shown(F.col("_canned")).alias("robotic_phrases_found"), F.col("_k").alias("sentence_count"), F.col("_n").alias("word_count"),
     )
     return d.select(*keep, F.struct(F.col("_score").alias("ai_score"), F.col("_verdict").alias("verdict"), F.when(short, F.array(F.lit(SHORT_REASON))).otherwise(reasons).alias("reasons"), metrics.alias("metrics")).alias("analysis"))

@@ -63,9 +63,8 @@ def table_of(m: dict[str, int]) -> str:
 
 
 AI, HUMAN = table_of(lexicon.AI_TENTHS), table_of(lexicon.HUMAN_TENTHS)
-CANNED = "[" + ", ".join(map(quoted, lexicon.CANNED)) + "]"
 TOKENS = r"regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')"
-CANNED_IN = rf"list_filter({CANNED}, lambda p: regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])' || p || '($|[^\p{{L}}\p{{N}}_])'))"
+CANNED_IN = "list_filter([" + ", ".join(rf"CASE WHEN contains(lower(t), {quoted(p)}) AND regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_]){p.replace(chr(39), chr(39) * 2)}($|[^\p{{L}}\p{{N}}_])') THEN {quoted(p)} END" for p in lexicon.CANNED) + "], lambda p: p IS NOT NULL)"
 
 
 def in_list(m: dict[str, int]) -> str:
@@ -206,10 +205,10 @@ CASE WHEN len(canned) > 0 THEN 'Typical LLM canned phrases detected: ' || {_LIST
 CASE WHEN formal THEN printf('Controlled lexical dispersion ratio (%.2f)', ttr) END, CASE WHEN opens THEN printf('Monotonous sentence openers (%s: %d%%)', upper(left(o, 1)) || o[2:], floor(m / k::DOUBLE * 100)::BIGINT) END], lambda x: x IS NOT NULL)"""
 SQL["reports"] = FEATURES + f""", a AS (SELECT *, CASE WHEN n < 15 THEN ['Text too short for reliable statistical evaluation (min 15 words)'] ELSE {REASONS} END AS reasons FROM s)
 SELECT doc_id, array_to_string(list_filter(['Verdict: ' || verdict || ' (confidence: ' || score || '%)', CASE WHEN n > 0 THEN 'Word count: ' || n END, CASE WHEN k > 0 THEN 'Sentences analyzed: ' || k END,
-CASE WHEN n >= 15 THEN printf('Burstiness CV: %.3f (human ~0.7+, AI ~0.3-0.4)', round_even(cv, 4)::DOUBLE) END, CASE WHEN n >= 15 THEN printf('Type-token ratio: %.3f', round_even(ttr, 4)::DOUBLE) END,
+CASE WHEN n >= 15 THEN printf('Burstiness CV: %.3f (human ~0.7+, AI ~0.3-0.4)', printf('%.4f', cv)::DOUBLE) END, CASE WHEN n >= 15 THEN printf('Type-token ratio: %.3f', printf('%.4f', ttr)::DOUBLE) END,
 CASE WHEN n >= 15 AND len(ai) > 0 THEN 'AI markers found: ' || array_to_string({_UNIQ('ai')}[1:10], ', ') END, CASE WHEN n >= 15 AND len(human) > 0 THEN 'Human markers found: ' || array_to_string({_UNIQ('human')}[1:10], ', ') END,
 CASE WHEN len(reasons) > 0 THEN chr(10) || 'Reasons:' || chr(10) || array_to_string(list_transform(reasons[1:6], lambda r: '  - ' || r), chr(10)) END], lambda x: x IS NOT NULL), chr(10)) AS report FROM a"""
-TIPS = f"""array_to_string(list_concat(list_concat(list_filter([CASE WHEN n < 15 OR round_even(cv, 4) < 0.5 THEN {quoted(report.TIP_LENGTHS)} END, CASE WHEN n >= 15 AND round_even(ttr, 4) > 0.75 THEN {quoted(report.TIP_VARIED)} END], lambda x: x IS NOT NULL),
+TIPS = f"""array_to_string(list_concat(list_concat(list_filter([CASE WHEN n < 15 OR printf('%.4f', cv)::DOUBLE < 0.5 THEN {quoted(report.TIP_LENGTHS)} END, CASE WHEN n >= 15 AND printf('%.4f', ttr)::DOUBLE > 0.75 THEN {quoted(report.TIP_VARIED)} END], lambda x: x IS NOT NULL),
 CASE WHEN n < 15 THEN [] ELSE list_transform(list_filter({_UNIQ('ai')}[1:6], lambda x: list_contains([{', '.join(map(quoted, lexicon.WORD_REWRITES))}], x)), lambda x: 'Replace ''' || x || ''' with ''' || (MAP {{{', '.join(f'{quoted(a)}: {quoted(b)}' for a, b in lexicon.WORD_REWRITES.items())}}})[x] || '''') END), [{quoted(report.TIP_ALWAYS)}]), chr(10))"""
 SQL["fix_tips"] = FEATURES + f"SELECT doc_id, {TIPS} AS tips FROM s"
 SQL["premium_gate"] = FEATURES + f"SELECT doc_id, 'u' || (doc_id % 7) AS user_id, doc_id % 7 IN (0, 2, 4) AS premium, CASE WHEN doc_id % 7 IN (0, 2, 4) AND score >= 65 THEN {TIPS} END AS fix FROM s"
