@@ -328,13 +328,14 @@ def find(texts: list[str], data: np.ndarray, offsets: np.ndarray, field: Field)
 
 def _blocks(batch: pa.RecordBatch, column: int, field: Field):
     data, offsets = tb.column_bytes(batch.column(column))
-    for i, j in tb.blocks(offsets):
+    for i, j in tb.blocks(offsets, tb.BLOCK_BYTES // 2):
         texts = [t or "" for t in batch.column(column).slice(i, j - i).to_pylist()]
         yield i, j, texts, find(texts, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], field)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """One row per row of docs: counts of the base kinds, the digest of the base spans, and all spans."""
+    tb.bound_batches(docs.sparkSession)
     field = field or fit_on(docs, id_col, text_col)
 
     def run(batches):
@@ -369,6 +370,7 @@ def redact(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", field: Field | None = None) -> DataFrame:
     """docs with every secret replaced by a mark, and the length in code points renewed; null texts stay null."""
+    tb.bound_batches(docs.sparkSession)
     field = field or fit_on(docs, id_col, text_col)
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import scratch
+from textloom.llm import textbytes as tb
 
 LEAST = 100
 FILE_BYTES = 64_000_000
@@ -172,6 +173,7 @@ def classified(pages: DataFrame, id_col: str, payload_col: str, uri_col: str | N
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record a row into gzip streams under folder; returns a written table of path and n_records."""
+    tb.bound_batches(pages.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
