@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import textbytes as tb
+
 #: Letters that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x",
@@ -169,11 +171,16 @@ def learn_terms(toxic: list[str], clean: list[str], most: int = 400, least: int
 
 def learn_exceptions(terms: dict[str, float], toxic: list[str], clean: list[str], least: int = 3) -> list[str]:
     """The fixed phrases, and pairs of neighbouring words with a term that stand in several clean texts and no toxic one."""
-    heads = {x.strip() for x in terms if x.endswith(" ")}
+    known: dict[str, bool] = {}
+
+    def is_term(w: str) -> bool:
+        if w not in known:
+            known[w] = f" {w} " in terms or any(" " + w[:k] in terms for k in range(4, min(len(w), 11)))
+        return known[w]
 
     def pairs(t: str) -> set[str]:
         w = t.split()
-        return {f" {a} {b} " for a, b in zip(w, w[1:], strict=False) if a in heads or b in heads}
+        return {f" {a} {b} " for a, b in zip(w, w[1:], strict=False) if is_term(a) or is_term(b)}
 
     bad = set().union(*map(pairs, toxic))
     seen = Counter(p for t in clean for p in pairs(t))
@@ -220,6 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the score of the whole text, the prediction and the number of hits."""
+    tb.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     made: list[Matcher] = []
 
