@@ -102,7 +102,12 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     more if that is half of it or more; texts are not cut. Rows of texts without words are left out."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sized = scratch.write(_keyed(docs, id_col, text_col, source_col))
-    r = _planned(_keyed(docs, id_col, text_col, source_col, whole), sized, **how)
+    plan = _planned(sized, sized, **how)
+    # The plan is made without texts. Rows of one id and text are alike, so each takes any one of their entries.
+    alike = Window.partitionBy("_digest", "_tie")
+    plan = plan.groupBy(F.col("_digest").alias("_d"), F.col("_tie").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("_before", "_copies", "_words", "_size", "_part", "_target", "_ramp"))).alias("_plans"))
+    rows = _keyed(docs, id_col, text_col, source_col, whole).select("_digest", "_tie", "_row").withColumn("_k", F.row_number().over(alike.orderBy("_tie")))
+    r = rows.join(plan, (F.col("_digest") == F.col("_d")) & (F.col("_tie") == F.col("_t"))).select("_row", "_digest", F.element_at("_plans", F.col("_k")).alias("_p")).select("_row", "_digest", "_p.*")
     times = F.col("_copies") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)
     r = r.where(times > 0).select("_row", "_copies", "_words", "_before", "_size", "_part", "_target", "_ramp", "_digest", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias("_copy"))
     r = r.select("_row", _time(F.col("_copy")).alias("_at"), "_digest").orderBy("_at", "_digest")
