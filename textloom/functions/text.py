@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip and str.split see it.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+#: Printable ASCII is ruled out first: most characters are, and a class is tested from left to right.
+_SPACES = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = rf"[[^!-~]&&[{_SPACES}]]"
+NOT_SPACE = rf"[!-~[^{_SPACES}]]"
 #: A word character is a letter, a number or an underscore of any script; Java's \w would be ASCII only.
-WORD_CHAR = r"[\p{L}\p{N}_]"
-BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
+WORD_CHAR = r"[a-zA-Z0-9_\p{L}\p{N}]"
+BETWEEN_WORDS = r"[^a-zA-Z0-9_\p{L}\p{N}]+"
 NOT_BEFORE, NOT_AFTER = rf"(?<!{WORD_CHAR})", rf"(?!{WORD_CHAR})"
 
 

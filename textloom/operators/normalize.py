@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from textloom import lexicon
 from textloom.functions.text import fold_replace, let, strip
 
-#: Signs that the maps of signs and Greek letters can change.
-_SIGNS = "[" + "".join(a for a, _ in lexicon.MATH + lexicon.GREEK) + "]"
-_TYPOGRAPHY = "[" + "".join(a for a, _ in lexicon.TYPOGRAPHY) + "]"
+#: Guards: ranges that hold all signs of the maps (and more). ASCII is ruled out first; a class of single signs would be tried one by one.
+_SIGNS = r"[[^ -~\n]&&[\xAC\xB1\xD7\xF7\u0391-\u03C9\u2190-\u22FF]]"
+_TYPOGRAPHY = r"[[^ -~\n]&&[\xA7-\xBB\u2010-\u203A\u2212]]"
 
 
 def unescape_html(c: Column) -> Column:
@@ -42,8 +42,8 @@ def normalize_native(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\$\^_{}\[\]\\]", " ")
     c = let(c, lambda x: F.when(F.rlike(x, F.lit(_TYPOGRAPHY)), fold_replace(x, lexicon.TYPOGRAPHY)).otherwise(x))
     c = let(c, lambda x: F.when(F.rlike(x, F.lit(_SIGNS)), fold_replace(x, lexicon.MATH + lexicon.GREEK)).otherwise(x))
-    c = F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ \n\t]]", "")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s.,;:!?\-'\"]", " ")
+    c = F.regexp_replace(c, r"[[^ -~\n\t]&&[\p{C}\p{Z}]]", "")
+    c = F.regexp_replace(c, r"[^a-zA-Z0-9_\s.,;:!?\-'\"\p{L}\p{N}]", " ")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\s+([.,;:!?])", "$1")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))

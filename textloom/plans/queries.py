@@ -11,7 +11,7 @@ from textloom.functions.text import preview, tokens, word_count
 from textloom.operators import chunk, fingerprint, normalize, rectify, report, scan, score, vectors
 from textloom.plans.planted import planted
 from textloom.sources import requests
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,7 +22,7 @@ def query(f):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _planted(spark, d):
