@@ -81,6 +81,25 @@ def test_prefix_pairs_lose_nothing(spark):
     assert want <= {tuple(sorted(p)) for p in got}
 
 
+def footers(n=60, seed=9):
+    """Pairs (2i, 2i + 1) of texts that differ by a line repeated many times: links, though their weighted similarity is far lower."""
+    r, texts = random.Random(seed), {}
+    for i in range(n):
+        body = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(64 if i % 2 else 104))
+        texts[2 * i] = body
+        texts[2 * i + 1] = body + f" f{i}a f{i}b f{i}c" * (200 if i % 2 else 1) + "".join(f" g{i}x{k}" for k in range(0 if i % 2 else 10)) * 50
+    return texts
+
+
+def test_links_of_texts_with_repeated_lines_are_verified(spark):
+    texts = footers()
+    d = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    pairs = spark.createDataFrame([(i, i + 1) for i in texts if i % 2 == 0] + [(0, 2), (1, 2)], "a long, b long")
+    got = {tuple(r) for r in neardup._verified(pairs, neardup._sketched(d, "id", "text").drop("key", "bands"), d, 0.8).collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    assert got == {(i, i + 1) for i in texts if i % 2 == 0 and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])} and len(got) == len(texts) // 2
+
+
 def test_sketches_estimate_probability_jaccard():
     r = np.random.default_rng(3)
     for _ in range(5):

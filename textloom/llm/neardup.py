@@ -49,9 +49,11 @@ BANDS, ROWS = 32, 8
 ROUNDS, WORTH = 8, 0.02
 #: Counters of shingles for the prefix filter. They only set an order, so a fixed number does for any input.
 COUNTERS = 1 << 16
-#: A pair whose sketches agree in less than this part of their components is far from any link: at a similarity of 0.8
-#: the part has a standard deviation of 0.025, so that a link falls short about once in ten million.
-ROUGH = 0.67
+#: Components of the plain sketch, in which all shingles weigh the same: whatever their counts, the chance that two agree in one is the Jaccard similarity.
+PLAIN = 255
+#: A pair whose plain sketches agree in a part of their components that is smaller than the threshold by more than this is
+#: far from any link: at a similarity of 0.8 a link falls short once in 100 billion, at any other once in 500 million at most.
+MARGIN = 0.2
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -114,7 +116,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the text), bands (empty for texts without words) and rough: a byte of each component of the sketch."""
+    """id, key (128-bit hash of the text), bands (empty for texts without words), rough: a byte of each component of the plain sketch, and n: how many shingles."""
 
     def run(batches):
         for batch in batches:
@@ -124,36 +126,40 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text, gram, count = shingles(own, off)
                 full = sketch(text, gram, weights(count), j - i)
                 got = bands(full)
-                some = np.bincount(text, minlength=j - i) > 0
+                plain = sketch(text, gram, np.ones(len(gram)), j - i, PLAIN)
+                n = np.bincount(text, minlength=j - i)
+                some = n > 0
                 flat = pa.array(got[some].ravel().view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 arr = pa.ListArray.from_arrays(pa.array(ends), flat)
                 keys = [xxhash.xxh3_128_digest(own[off[k] : off[k + 1]].tobytes()) for k in range(j - i)]
-                rough = [x.tobytes() for x in (full >> np.uint64(56)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), arr, pa.array(rough, pa.binary())], names=["id", "key", "bands", "rough"])
+                rough = [x.tobytes() for x in (plain >> np.uint64(56)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), arr, pa.array(rough, pa.binary()), pa.array(n, pa.int64())], names=["id", "key", "bands", "rough", "n"])
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>, rough binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key binary, bands array<long>, rough binary, n long")
 
 
-def _close(pairs: DataFrame, rough: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree well enough for a closer look."""
+def _close(pairs: DataFrame, rough: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose plain sketches agree well enough for a closer look."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-                keep = (a == b).mean(1) >= ROUGH
+                keep = (a == b).mean(1) >= threshold - MARGIN
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    left, right = rough.withColumnsRenamed({"id": "ia", "rough": "ra"}), rough.withColumnsRenamed({"id": "ib", "rough": "rb"})
-    return pairs.join(right, F.col("b") == F.col("ib")).join(left, F.col("a") == F.col("ia")).select("a", "b", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
+    left, right = rough.withColumnsRenamed({"id": "ia", "rough": "ra", "n": "na"}), rough.withColumnsRenamed({"id": "ib", "rough": "rb", "n": "nb"})
+    sizes = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    return pairs.join(right, F.col("b") == F.col("ib")).join(left, F.col("a") == F.col("ia")).where(sizes).select("a", "b", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, rough: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by their whole texts."""
-    pairs = scratch.write(_close(pairs, rough))
+def _verified(pairs: DataFrame, rough: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by their whole texts; with rough, those that are far from it are left out before texts are read."""
+    if rough is not None:
+        pairs = scratch.write(_close(pairs, rough, threshold))
 
     def run(batches):
         for batch in batches:
@@ -232,7 +238,7 @@ def _links(docs: DataFrame, sketched: DataFrame, members: DataFrame, id_col: str
         return None
     wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id", "left_semi")
     texts = scratch.write(wanted.dropDuplicates(["id"]))
-    rough = scratch.write(sketched.select("id", "rough").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    rough = scratch.write(sketched.select("id", "rough", "n").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     tested = scratch.write(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     edges = scratch.write(_verified(tested, rough, texts, threshold))
     # Buckets whose members are all linked to their pivot are settled.
@@ -260,7 +266,8 @@ def _links(docs: DataFrame, sketched: DataFrame, members: DataFrame, id_col: str
     labels = components(edges)
     rest = open_.select("id").distinct().join(labels, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("c"))
     pairs = scratch.write(_prefix_pairs(texts.join(scratch.write(rest), "id"), threshold))
-    return scratch.write(edges.union(_verified(pairs, rough, texts, threshold)))
+    # These have passed exact bounds already; no sketch has a say in them.
+    return scratch.write(edges.union(_verified(pairs, None, texts, threshold)))
 
 
 def _prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
