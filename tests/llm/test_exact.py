@@ -100,6 +100,16 @@ def test_links_of_texts_with_repeated_lines_are_verified(spark):
     assert got == {(i, i + 1) for i in texts if i % 2 == 0 and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])} and len(got) == len(texts) // 2
 
 
+def test_links_share_a_bucket(spark):
+    texts = footers(200, 10)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    bands = {r.id: set(r.bands) for r in neardup._sketched(d, "doc_id", "text").select("id", "bands").collect()}
+    assert all(bands[i] & bands[i + 1] for i in texts if i % 2 == 0)
+    some = {i: t for i, t in texts.items() if i < 80}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(d.where("doc_id < 80")).collect()}
+    assert got == joined(some)
+
+
 def test_sketches_estimate_probability_jaccard():
     r = np.random.default_rng(3)
     for _ in range(5):
