@@ -56,6 +56,15 @@ def test_knn(spark):
             vectors.MOST_QUERIES = old
 
 
+def test_knn_takes_the_smallest_ids_of_many_equal_vectors(spark):
+    rows = [(i, [0.6, 0.8]) for i in range(1000, 600, -1)] + [(i, [1.0, 0.0]) for i in range(600, 300, -1)] + [(5, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(5, [0.0, 0.0]), (601, [0.6, 0.8]), (2000, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    for own, want in ((False, {5: [5, 301, 302], 601: [601, 602, 603], 2000: [301, 302, 303]}), (True, {5: [301, 302, 303], 601: [602, 603, 604], 2000: [301, 302, 303]})):
+        got = vectors.knn(q, d, k=3, skip_self=own).orderBy("query_id", "rank").collect()
+        assert {i: [x.match_id for x in got if x.query_id == i] for i in want} == want
+
+
 def test_text_precedence(spark):
     rows = [
         ('{"text":"a"}', "b", "c", "d", "a"), ('{"text":""}', "b", "c", "d", "b"), (None, None, '{"text":"r"}', "d", "r"), (None, "", '"js"', "d", "js"), (None, None, "plain", "d", "plain"),
