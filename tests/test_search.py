@@ -65,6 +65,18 @@ def test_knn_takes_the_smallest_ids_of_many_equal_vectors(spark):
         assert {i: [x.match_id for x in got if x.query_id == i] for i in want} == want
 
 
+def test_registered_searches_take_any_number_of_queries(spark, tmp_path, monkeypatch):
+    from textloom.plans import queries
+
+    r = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 8)))], "vec_id long, embedding array<double>").coalesce(2)
+    d.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = sorted(vectors.knn(d.where("vec_id % 50 = 0"), d, k=3).collect())
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
+    assert sorted(queries.QUERIES["knn_topk"](spark, str(tmp_path)).collect()) == want and len(want) == 24
+    assert vectors.knn_all(d.where("vec_id < 0"), d).count() == 0
+
+
 def test_text_precedence(spark):
     rows = [
         ('{"text":"a"}', "b", "c", "d", "a"), ('{"text":""}', "b", "c", "d", "b"), (None, None, '{"text":"r"}', "d", "r"), (None, "", '"js"', "d", "js"), (None, None, "plain", "d", "plain"),

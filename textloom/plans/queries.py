@@ -211,13 +211,13 @@ def shared_hashes(spark, d):
 @query
 def knn_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.knn(e.where("vec_id % 50 = 0"), e, k=3).select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "similarity")
+    return vectors.knn_all(e.where("vec_id % 50 = 0"), e, k=3).select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
 @query
 def knn_threshold(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.knn(e.where("vec_id % 50 = 0"), e, k=3, threshold=0.3, skip_self=True).select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "similarity")
+    return vectors.knn_all(e.where("vec_id % 50 = 0"), e, k=3, threshold=0.3, skip_self=True).select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
 @query
@@ -235,7 +235,7 @@ def semantic_search(spark, d):
     """Chunks of the benchmark's passages of ids divisible by 50 against those of all passages, with the default encoder."""
     c = table(spark, d, "benchmark").select("item_id", F.posexplode(chunk.semantic_chunks(F.col("text"))).alias("pos", "chunk"))
     c = vectors.encode_chunks(c.select((F.col("item_id") * 1000 + F.col("pos")).alias("vec_id"), "item_id", "chunk"))
-    return vectors.knn(c.where("item_id % 50 = 0"), c, k=3)
+    return vectors.knn_all(c.where("item_id % 50 = 0"), c, k=3)
 
 
 @query
