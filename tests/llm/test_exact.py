@@ -346,6 +346,14 @@ def test_syncmers_are_chosen_by_their_own_bytes():
     assert inner <= {int(v) for v in value[who == 3]}
 
 
+def test_likeness_does_not_jump_with_the_length():
+    r = random.Random(6)
+    for _ in range(20):
+        text = "".join(r.choice("abcdefghij ") for _ in range(262))
+        a, b, c = syncmers.fingerprints(*tb.column_bytes(pa.array([text, text[:250], text[:238]])))
+        assert syncmers.likeness(a, b) > 0.8 and syncmers.likeness(b, c) > 0.8 and syncmers.likeness(b, b) == 1
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):

@@ -10,7 +10,8 @@ together, those in both whose offsets differ by much the same distance.
 
 Edge cases: null counts as empty; the empty text has the fingerprint ``-`` and
 is like the empty text alone (1, else 0). Texts under 256 bytes have anchors of
-a smaller scale besides; one with none at all has one made of all its bytes. Rows of equal id are ordered
+a smaller scale besides, sampled and compared apart, and only among such texts;
+one with none at all has one made of all its bytes. Rows of equal id are ordered
 by text; of repeated rows each is the next one's predecessor. Null ids come
 first. With one row, that row is its own next. Only the two named columns are
 read, so other columns cannot clash. An empty table gives an empty result.
@@ -54,26 +55,29 @@ def _scale(data: np.ndarray, offsets: np.ndarray, k: int, s: int) -> tuple[np.nd
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, offset in the text) of every anchor of a block's texts."""
+    """(text, hash, offset in the text) of every anchor of a block's texts; hashes of the smaller scale are odd, others even."""
     text, value, at = _scale(data, offsets, K, S)
+    value &= ~np.uint64(1)
     size = np.diff(offsets)
     small = np.flatnonzero((size < SHORT) & (size > 0))
     if len(small):
         own = np.concatenate([data[offsets[d] : offsets[d + 1]] for d in small])
         t, v, a = _scale(own, np.concatenate([[0], np.cumsum(size[small])]), SMALL_K, SMALL_S)
-        text, value, at = np.append(text, small[t]), np.append(value, v), np.append(at, a)
+        text, value, at = np.append(text, small[t]), np.append(value, v | np.uint64(1)), np.append(at, a)
     for d in np.flatnonzero((np.bincount(text, minlength=len(size)) == 0) & (size > 0)):
         own = data[offsets[d] : offsets[d + 1]].tobytes()
-        text, at, value = np.append(text, d), np.append(at, 0), np.append(value, np.uint64(xxhash.xxh3_64_intdigest(own)))
+        text, at, value = np.append(text, d), np.append(at, 0), np.append(value, np.uint64(xxhash.xxh3_64_intdigest(own) | 1))
     return text, value, at
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes in ascending order, offsets of their first places) of the kept anchors of each text."""
     text, value, at = anchors(data, offsets)
-    n = len(offsets) - 1
+    n = 2 * (len(offsets) - 1)
     if not n:
         return []
+    # Each scale is a sample of its own.
+    text = 2 * text + (value & np.uint64(1)).astype(np.int64)
     # Far too large hashes cannot be among the smallest; the rest are ordered. Repeats are why some room is left, and a text that falls short is done in full.
     count = np.bincount(text, minlength=n)
     bound = np.where(count > 8 * KEEP, (4.0 * KEEP / np.maximum(count, 1)) * 2.0**64, 2.0**64)
@@ -87,7 +91,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
         again = _smallest(text[own], value[own], at[own], n)
         for d in short:
             out[d] = again[d]
-    return out
+    return [_merged(large, small) if len(small[0]) else large for large, small in zip(out[::2], out[1::2], strict=True)]
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    value, at = np.append(a[0], b[0]), np.append(a[1], b[1])
+    order = np.argsort(value)
+    return value[order], at[order]
 
 
 def _smallest(text, value, at, n) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -111,9 +121,19 @@ def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """From 0 to 1: among the smallest anchors of both, the part that both have at offsets in agreement."""
+    """From 0 to 1: among the smallest anchors of both, the part that both have at offsets in agreement. The smaller scale counts if both texts have it."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
+    small = [(x[0] & np.uint64(1)).astype(bool) for x in (a, b)]
+    got = [_agreeing(*((x[0][~z], x[1][~z]) for x, z in zip((a, b), small, strict=True)))]
+    if all(z.any() for z in small):
+        got.append(_agreeing(*((x[0][z], x[1][z]) for x, z in zip((a, b), small, strict=True))))
+    most = sum(m for _, m in got)
+    return sum(n for n, _ in got) / most if most else 0.0
+
+
+def _agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """Of one scale: how many of the smallest anchors of both agree, and how many these are."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     union = len(a[0]) + len(b[0]) - len(both)
     most = min(KEEP, union)
@@ -122,10 +142,10 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
         keep = both <= last
         i, j = i[keep], j[keep]
     if not len(i):
-        return 0.0
+        return 0, most
     shift = np.sort(a[1][i] - b[1][j])
     near = np.searchsorted(shift, shift + SLACK, "right") - np.arange(len(shift))
-    return float(near.max()) / most
+    return int(near.max()), most
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
