@@ -354,6 +354,21 @@ def test_likeness_does_not_jump_with_the_length():
         assert syncmers.likeness(a, b) > 0.8 and syncmers.likeness(b, c) > 0.8 and syncmers.likeness(b, b) == 1
 
 
+def test_fingerprints_grow_and_insertions_keep_likeness():
+    r = random.Random(7)
+    words = lambda n: [f"w{r.randint(0, 10**5)}" for _ in range(n)]
+    text = words(1500)
+    for n in (1, 2, 4):
+        cut = sorted(r.sample(range(1500), n))
+        new = [w for a, b in zip([0, *cut], [*cut, 1500], strict=True) for w in [*words(8 * (a > 0)), *text[a:b]]]
+        a, b = syncmers.fingerprints(*tb.column_bytes(pa.array([" ".join(text), " ".join(new)])))
+        assert syncmers.likeness(a, b) > 0.85
+    passage = words(60)
+    long = [" ".join([*words(9000), *passage, *words(9000)]) for _ in range(2)]
+    a, b = syncmers.fingerprints(*tb.column_bytes(pa.array(long)))
+    assert len(a[0]) > 1000 and syncmers.likeness(a, b) > 0
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):

@@ -3,10 +3,11 @@
 A run of ``K`` bytes is an anchor if, of the ``S``-byte strings inside it, a
 smallest one (by hash) lies at either end. Whether a run is an anchor depends
 on its own bytes alone, so a passage keeps its anchors wherever it stands.
-A fingerprint holds the ``KEEP`` anchors of smallest hash of the whole text
-with their byte offsets: a sample of all anchors that is the same wherever
-they agree. Likeness counts, among the smallest anchors of both fingerprints
-together, those in both whose offsets differ by much the same distance.
+A fingerprint holds the anchors of hashes under ``DENSE``, and the ``KEEP`` of
+smallest hash at least, with the byte offsets of their first places: a sample
+that grows with the text and is the same wherever texts agree. Likeness counts,
+among the sampled anchors of both texts together, the longest chain of those
+that both have in the same order, so insertions cost only what they add.
 
 Edge cases: null counts as empty; the empty text has the fingerprint ``-`` and
 is like the empty text alone (1, else 0). Texts under 256 bytes have anchors of
@@ -20,6 +21,7 @@ read, so other columns cannot clash. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from textloom.llm import textbytes as tb
 
 K, S, KEEP = 16, 8, 64
+#: Anchors of hashes below this are always kept, one in 16, so that a fingerprint grows with its text.
+DENSE = np.uint64(1 << 60)
 #: Texts of fewer bytes than SHORT have anchors of this smaller scale besides.
 SHORT, SMALL_K, SMALL_S = 256, 6, 3
-#: Offsets that differ by this many bytes or fewer lie on neighbouring diagonals.
-SLACK = 32
 
 
 def _scale(data: np.ndarray, offsets: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +83,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
     # Far too large hashes cannot be among the smallest; the rest are ordered. Repeats are why some room is left, and a text that falls short is done in full.
     count = np.bincount(text, minlength=n)
     bound = np.where(count > 8 * KEEP, (4.0 * KEEP / np.maximum(count, 1)) * 2.0**64, 2.0**64)
+    bound = np.maximum(bound, float(DENSE))
     maybe = value.astype(np.float64) < bound[text]
     out, short = _smallest(text[maybe], value[maybe], at[maybe], n), []
     for d in np.flatnonzero(count > 8 * KEEP):
@@ -107,7 +110,9 @@ def _smallest(text, value, at, n) -> list[tuple[np.ndarray, np.ndarray]]:
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     text, value, at = text[new], value[new], at[new]
     first = np.searchsorted(text, np.arange(n + 1))
-    return [(value[a : min(b, a + KEEP)], at[a : min(b, a + KEEP)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    # A text keeps those under DENSE, and KEEP at least.
+    dense = np.bincount(text[value < DENSE], minlength=n)
+    return [(value[a : min(b, a + m)], at[a : min(b, a + m)]) for a, b, m in zip(first[:-1], first[1:], np.maximum(dense, KEEP), strict=True)]
 
 
 def written(fp: tuple[np.ndarray, np.ndarray]) -> str:
@@ -135,17 +140,17 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
     """Of one scale: how many of the smallest anchors of both agree, and how many these are."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = len(a[0]) + len(b[0]) - len(both)
-    most = min(KEEP, union)
-    if union > most:
-        last = np.partition(np.unique(np.concatenate([a[0], b[0]])), most - 1)[most - 1]
-        keep = both <= last
+    union = np.union1d(a[0], b[0])
+    most = max(min(KEEP, len(union)), int(np.searchsorted(union, DENSE)))
+    if len(union) > most:
+        keep = both <= union[most - 1]
         i, j = i[keep], j[keep]
-    if not len(i):
-        return 0, most
-    shift = np.sort(a[1][i] - b[1][j])
-    near = np.searchsorted(shift, shift + SLACK, "right") - np.arange(len(shift))
-    return int(near.max()), most
+    # The longest chain of anchors in the same order in both: ends[k] is the least place in b at which one of k + 1 ends.
+    ends: list[int] = []
+    for place in b[1][j][np.argsort(a[1][i])].tolist():
+        k = bisect_left(ends, place)
+        ends[k : k + 1] = [place]
+    return len(ends), most
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
