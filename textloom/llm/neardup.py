@@ -22,25 +22,30 @@ whose members still lie in different components go on with new pivots as long
 as that finds links. What is then left open, such as large groups that stay
 just under the threshold, is settled exactly by a prefix-filtered similarity
 join: two sets that are similar enough share one of their few rarest shingles,
-and pairs of different components that do are verified. So no link between
-members of a bucket is lost, and pairs within a class of thousands are never
-listed. Nothing is collected but counts and a table of counters of fixed size;
-lineage is cut by tables in the shared folder.
+and pairs of different components that do are verified. Shingles are ordered
+by the exact number of open texts that hold them, those of one text alone are
+in no pair, and of the component that holds a shingle most often no two
+members are paired. So no link between members of a bucket is lost, and pairs
+within a class of thousands are never listed. Nothing is collected but counts;
+lineage is cut by tables in the shared folder, which are removed once the
+classes are written.
 
 Edge cases: null counts as empty. Texts of one to four words are one shingle;
 texts without words are only like exact copies. Rows of one id are one
-document. Rows with a null id are compared with none and have a null class.
+document; if their texts differ, the text of smallest SHA-256 stands for all
+of them. Rows with a null id are compared with none and have a null class.
 Only the two named columns are read, so other columns cannot clash. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import scratch
@@ -50,8 +55,6 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 8
 #: Rounds of pivots at most; a round that links less than this part of what is open is the last.
 ROUNDS, WORTH = 8, 0.02
-#: Counters of shingles for the prefix filter. They only set an order, so a fixed number does for any input.
-COUNTERS = 1 << 16
 #: Components of the plain sketch, in which all shingles weigh the same: whatever their counts, the chance that two agree in one is the Jaccard similarity.
 PLAIN_BANDS, PLAIN_ROWS = 51, 5
 PLAIN = PLAIN_BANDS * PLAIN_ROWS
@@ -120,7 +123,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the text), bands (empty for texts without words), rough: a byte of each component of the plain sketch, and n: how many shingles."""
+    """id, key (SHA-256 of the text), bands (empty for texts without words), rough: a byte of each component of the plain sketch, and n: how many shingles."""
 
     def run(batches):
         for batch in batches:
@@ -137,7 +140,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 flat = pa.array(got[some].ravel().view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(some * got.shape[1])]).astype(np.int32)
                 arr = pa.ListArray.from_arrays(pa.array(ends), flat)
-                keys = [xxhash.xxh3_128_digest(own[off[k] : off[k + 1]].tobytes()) for k in range(j - i)]
+                keys = [hashlib.sha256(own[off[k] : off[k + 1]]).digest() for k in range(j - i)]
                 rough = [x.tobytes() for x in (plain >> np.uint64(56)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), arr, pa.array(rough, pa.binary()), pa.array(n, pa.int64())], names=["id", "key", "bands", "rough", "n"])
 
@@ -219,31 +222,47 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: its id, class_id (the smallest id of its class) and is_first (whether it is that one)."""
     tb.bound_batches(docs.sparkSession)
-    sketched = scratch.write(_sketched(docs, id_col, text_col))
-    reps = scratch.write(sketched.where(F.col("id").isNotNull()).groupBy("key").agg(F.min("id").alias("rep")))
-    own = sketched.where(F.col("bands").isNotNull()).join(reps.withColumnRenamed("key", "k"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k")), "left_semi")
-    banded = scratch.write(own.select("id", F.explode("bands").alias("h")).distinct())
-    shared = scratch.write(banded.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select(F.col("h").alias("h2"), "pivot"))
-    members = scratch.write(banded.join(shared, F.col("h") == F.col("h2")).select("h", "id", "pivot"))
-    edges = _links(docs, sketched, members, id_col, text_col, threshold)
-    if edges is None:
-        classes = reps.select(F.col("key").alias("k"), F.col("rep").alias("class"))
-    else:
-        labels = components(edges)
-        classes = scratch.write(reps.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("k"), F.coalesce("c", "rep").alias("class")))
-    out = sketched.select("id", "key").join(classes, F.col("key") == F.col("k"), "left").withColumn("class", F.when(F.col("id").isNotNull(), F.col("class")))
-    return out.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.coalesce(F.col("id") == F.col("class"), F.lit(True)).alias("is_first"))
+    with scratch.passing(docs.sparkSession):
+        sketched = scratch.write(_sketched(docs, id_col, text_col))
+        # One text an id, one id a text.
+        own = scratch.write(sketched.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("key")))
+        reps = scratch.write(own.groupBy("key").agg(F.min("id").alias("rep")))
+        edges = _links(docs, sketched, reps, id_col, text_col, threshold)
+        if edges is not None:
+            labels = components(edges)
+            reps = reps.join(labels, F.col("rep") == F.col("v"), "left").select("key", F.coalesce("c", "rep").alias("rep"))
+        classes = scratch.kept(own.join(reps, "key").select(F.col("id").alias("_id"), F.col("rep").alias("class_id")))
+    out = docs.select(F.col(id_col)).join(classes, F.col(id_col) == F.col("_id"), "left")
+    return out.select(id_col, "class_id", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)).alias("is_first"))
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (a, b) between ids of different texts, enough of them to join every class; copies of one text are not listed."""
+    tb.bound_batches(docs.sparkSession)
+    with scratch.passing(docs.sparkSession):
+        sketched = scratch.write(_sketched(docs, id_col, text_col))
+        own = sketched.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("key"))
+        reps = scratch.write(own.groupBy("key").agg(F.min("id").alias("rep")))
+        edges = _links(docs, sketched, reps, id_col, text_col, threshold)
+        if edges is None:
+            edges = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+        return scratch.kept(edges.distinct())
 
 
-def _links(docs: DataFrame, sketched: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame | None:
+def _links(docs: DataFrame, sketched: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame | None:
     """Verified links enough to join all that the buckets' pairs join; None if no bucket has two members."""
+    mine = (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))
+    reps = reps.withColumnRenamed("key", "k")
+    banded = sketched.where(F.size("bands") > 0).join(reps, mine, "left_semi")
+    banded = scratch.write(banded.select("id", F.explode("bands").alias("h")).distinct())
+    shared = scratch.write(banded.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select(F.col("h").alias("h2"), "pivot"))
+    members = scratch.write(banded.join(shared, F.col("h") == F.col("h2")).select("h", "id", "pivot"))
     ids = scratch.write(members.select("id").distinct())
-    n = ids.count()
-    if not n:
+    if ids.isEmpty():
         return None
     wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id", "left_semi")
-    texts = scratch.write(wanted.dropDuplicates(["id"]))
-    rough = scratch.write(sketched.select("id", "rough", "n").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = scratch.write(wanted.groupBy("id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")))
+    rough = scratch.write(sketched.join(reps, mine, "left_semi").join(ids, "id", "left_semi").select("id", "rough", "n").dropDuplicates(["id"]))
     tested = scratch.write(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     edges = scratch.write(_verified(tested, rough, texts, threshold))
     # Buckets whose members are all linked to their pivot are settled.
@@ -259,7 +278,9 @@ def _links(docs: DataFrame, sketched: DataFrame, members: DataFrame, id_col: str
             return edges
         open_ = scratch.write(placed.join(mixed, F.col("h") == F.col("h2")).select("h", "id", "c", "first"))
         # A pivot from outside the first component, the same one for all buckets that hold the same members.
-        pivots = scratch.write(open_.where("c <> first").groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("p")).select(F.col("h").alias("h2"), F.col("p.id").alias("pivot"), F.col("p.c").alias("pc")))
+        drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), F.col("id").alias("id"), F.col("c").alias("c"))
+        pivots = open_.where("c <> first").groupBy("h").agg(F.min(drawn).alias("p"))
+        pivots = scratch.write(pivots.select(F.col("h").alias("h2"), F.col("p.id").alias("pivot"), F.col("p.c").alias("pc")))
         pairs = open_.join(pivots, F.col("h") == F.col("h2")).where("c <> pc").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         seen = tested.select("a", "b").union(tested.select("b", "a")).withColumnsRenamed({"a": "sa", "b": "sb"})
         pairs = scratch.write(pairs.distinct().join(seen, (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti"))
@@ -279,49 +300,40 @@ def _prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """Of texts (id, text, c): the pairs (a, b) with different c that may have a Jaccard similarity of threshold or more; none that has is left out.
 
     In any one order of all shingles, two such sets share one of the first n - ceil(t * n) + 1 shingles of the larger and
-    of the first n - ceil(2t / (1 + t) * n) + 1 of the smaller. The order is by a shingle's counter, so these are rare ones.
+    of the first n - ceil(2t / (1 + t) * n) + 1 of the smaller. The order is by the number of texts that hold a shingle,
+    so these are the rarest ones; those that one text alone holds come first and are in no pair.
     """
 
-    def counted(batches):
-        for batch in batches:
-            data, offsets = tb.column_bytes(batch.column(1))
-            total = np.zeros(COUNTERS, np.int64)
-            for i, j in tb.blocks(offsets):
-                _, gram, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                total += np.bincount((gram % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    spark = texts.sparkSession
-    table = np.zeros(COUNTERS, np.int64)
-    for r in texts.select("id", "text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        table[r.slot] = r.n
-    sent = spark.sparkContext.broadcast(table)
-    t = threshold
-
-    def prefixes(batches):
+    def cut(batches):
         for batch in batches:
             data, offsets = tb.column_bytes(batch.column(1))
             for i, j in tb.blocks(offsets):
                 text, gram, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                order = np.lexsort((gram, sent.value[(gram % np.uint64(COUNTERS)).astype(np.int64)], text))
-                text, gram = text[order], gram[order]
-                n = np.bincount(text, minlength=j - i)
-                place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-                size = n[text]
-                # A hair under, so that rounding never takes an overlap for too small.
-                probe, index = size - np.ceil(t * size - 1e-9) + 1, size - np.ceil(2 * t / (1 + t) * size - 1e-9) + 1
-                keep = place < probe
-                at = pa.array(text[keep] + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(size[keep]), pa.array(place[keep]), pa.array((place < index)[keep]), pa.array(gram[keep].view(np.int64))], names=["id", "c", "n", "p", "first", "g"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = scratch.write(texts.select("id", "text", "c").mapInArrow(prefixes, f"id {kind}, c {kind}, n long, p long, first boolean, g long"))
-    x = rows.select(*[F.col(k).alias(f"x{k}") for k in ("id", "c", "n", "p", "g")])
-    y = rows.where("first").select(*[F.col(k).alias(f"y{k}") for k in ("id", "c", "n", "p", "g")])
-    room = 1 + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) - 1
-    near = (F.col("xg") == F.col("yg")) & (F.col("xc") != F.col("yc")) & ((F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid")))) & (F.col("yn") >= t * F.col("xn") - 1e-9) & (room >= t / (1 + t) * (F.col("xn") + F.col("yn")) - 1e-9)
-    return x.join(y, near).select(F.col("yid").alias("a"), F.col("xid").alias("b")).distinct()
+                n, at = np.bincount(text, minlength=j - i), pa.array(text + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(n[text]), pa.array(gram.view(np.int64))], names=["id", "c", "n", "g"])
+
+    kind, t = texts.schema["id"].dataType.simpleString(), threshold
+    rows = scratch.write(texts.select("id", "text", "c").mapInArrow(cut, f"id {kind}, c {kind}, n long, g long"))
+    # For each shingle of several texts: how many, in how many components, and which component has most of them.
+    held = rows.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("df"), F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("top"))
+    held = scratch.write(held.where("df > 1").select(F.col("g").alias("hg"), "df", (F.col("parts") > 1).alias("mixed"), F.col("top.c").alias("main")))
+    own = Window.partitionBy("id")
+    r = rows.join(held, F.col("g") == F.col("hg")).drop("hg")
+    r = r.withColumn("p", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "g")) - 1)
+    # A hair under, so that rounding never takes an overlap for too small.
+    first = lambda part: F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1
+    r = r.where(F.col("mixed") & (F.col("p") < first(t))).withColumn("short", F.col("p") < first(2 * t / (1 + t)))
+    r = scratch.write(r.select("id", "c", "n", "p", "g", "short", (F.col("c") == F.col("main")).alias("in_main")))
+    names = ("id", "c", "n", "p", "short", "g")
+    x = r.where(~F.col("in_main")).select(*[F.col(k).alias(f"x{k}") for k in names])
+    y = r.select(*[F.col(k).alias(f"y{k}") for k in names], "in_main")
+    smaller = lambda a, b: F.col(f"{a}short") & ((F.col(f"{a}n") < F.col(f"{b}n")) | ((F.col(f"{a}n") == F.col(f"{b}n")) & (F.col(f"{a}id") < F.col(f"{b}id"))))
+    sizes = F.least("xn", "yn") >= t * F.greatest("xn", "yn") - 1e-9
+    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) >= t / (1 + t) * (F.col("xn") + F.col("yn")) - 1e-9
+    # Two members outside the main component meet once.
+    once = F.col("in_main") | (F.col("xid") < F.col("yid"))
+    near = (F.col("xg") == F.col("yg")) & (F.col("xc") != F.col("yc")) & once & (smaller("x", "y") | smaller("y", "x")) & sizes & room
+    return x.join(y, near).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's address under spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder stands for it."""
+    """A new folder's address under spark.checkpoint.dir. Where that is unset, a temporary folder stands for it in a local session, as in tests; elsewhere that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -23,6 +26,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def write(df: DataFrame) -> DataFrame:
     """Writes df and reads it back: lineage ends here, lost executors cost nothing written, and sizes are known to the planner."""
-    path = f"{shared_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(folder)
+    df.write.parquet(f"{folder}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are removed at the end; what is still needed must have been written by ``kept`` by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for folder in _scopes.pop():
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """As write, for a table that outlives the scope."""
+    _scopes.append([])
+    try:
+        return write(df)
+    finally:
+        _scopes.pop()
