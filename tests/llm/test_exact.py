@@ -1,5 +1,6 @@
 """Operators against brute force, the library, exact round trips and held-out accuracy."""
 
+import datetime
 import hashlib
 import math
 import os
@@ -110,6 +111,31 @@ def test_links_share_a_bucket(spark):
     assert got == joined(some)
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    texts = variants(11, 60)
+    rows = [*texts.items(), (3000, texts[1]), (3000, "quite another text than the one before it"), (7777, texts[9001]), (7777, texts[2001] + " x")]
+    got = defaultdict(set)
+    for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r.doc_id].add(r.class_id)
+    chosen = {}
+    for i, t in rows:
+        chosen[i] = min(chosen.get(i, t), t, key=lambda x: hashlib.sha256(x.encode()).digest())
+    assert {i: {c} for i, c in joined(chosen).items()} == got
+
+
+def test_links_join_the_classes(spark):
+    texts = variants(12, 60)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    links = neardup.near_duplicate_links(d).collect()
+    assert all(len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b]) for r in links)
+    linked = {r.v: r.c for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    assert {i: linked.get(first[t], first[t]) for i, t in texts.items()} == joined(texts)
+
+
 def test_sketches_estimate_probability_jaccard():
     r = np.random.default_rng(3)
     for _ in range(5):
@@ -346,12 +372,72 @@ def test_syncmers_are_chosen_by_their_own_bytes():
     assert inner <= {int(v) for v in value[who == 3]}
 
 
+def brute_fingerprint(text, sample):
+    """{hash: first place} of the kept anchors, one run at a time."""
+    data, k, s, places = text.encode(), syncmers.K, syncmers.S, {}
+    h = lambda b: int(tb.mix(np.array([int.from_bytes(b, "little")], np.uint64))[0])
+    for i in range(len(data) - k + 1):
+        hs = [h(data[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(hs) in (hs[0], hs[-1]):
+            value = int(tb.combine([np.array([x], np.uint64) for x in (hs[0], hs[-1])])[0])
+            places.setdefault(value, i)
+    order = sorted(places)
+    n = max(sample.keep, sum(v < 2**64 // sample.share for v in order))
+    return {v: places[v] for v in order[:n]}
+
+
+def brute_likeness(a, b, sample):
+    union = sorted({*a, *b})
+    most = max(min(sample.keep, len(union)), sum(v < 2**64 // sample.share for v in union))
+    both = sorted((a[v], b[v]) for v in union[:most] if v in a and v in b)
+    longest = [0] * len(both)
+    for i, (_, y) in enumerate(both):
+        longest[i] = 1 + max((longest[j] for j in range(i) if both[j][1] < y), default=0)
+    return max(longest, default=0) / most
+
+
+@pytest.mark.parametrize("sample", [syncmers.DEFAULT, syncmers.Sample(8, 4), syncmers.Sample(1, 1)])
+def test_fingerprints_and_likeness_against_brute_force(sample):
+    r = random.Random(6)
+    texts = []
+    for n in (3, 40, 200, 240, 250, 256, 262, 600, 2500):
+        text = "".join(r.choice("abcdefghij ") for _ in range(n))
+        cut = r.randrange(n)
+        texts += [text, text[:cut] + "inserted " + text[cut:], text[n // 2 :] + text[: n // 2], text + "ten more b"]
+    got = syncmers.fingerprints(*tb.column_bytes(pa.array(texts)), sample)
+    want = [brute_fingerprint(t, sample) for t in texts]
+    for g, w, t in zip(got, want, texts, strict=True):
+        assert dict(zip(g[0].tolist(), g[1].tolist(), strict=True)) == w or len(t) < 20
+    for i in range(0, len(texts), 4):
+        for j in range(i, i + 4):
+            if len(texts[i]) >= 40:
+                assert math.isclose(syncmers.likeness(got[i], got[j], sample), brute_likeness(want[i], want[j], sample))
+
+
 def test_likeness_does_not_jump_with_the_length():
     r = random.Random(6)
-    for _ in range(20):
-        text = "".join(r.choice("abcdefghij ") for _ in range(262))
-        a, b, c = syncmers.fingerprints(*tb.column_bytes(pa.array([text, text[:250], text[:238]])))
-        assert syncmers.likeness(a, b) > 0.8 and syncmers.likeness(b, c) > 0.8 and syncmers.likeness(b, b) == 1
+    for n in (60, 120, 240, 250, 256, 262, 500, 1000):
+        for _ in range(10):
+            text = "".join(r.choice("abcdefghij ") for _ in range(n))
+            a, b = syncmers.fingerprints(*tb.column_bytes(pa.array([text, text + "ten more b"])))
+            assert syncmers.likeness(a, b) > 0.95 * n / (n + 16) - 8 / n and syncmers.likeness(b, b) == 1
+
+
+def test_edits_with_ids_of_any_kind(spark):
+    r = random.Random(12)
+    words = [" ".join(r.choice(["ab", "cde", "fghi", "é"]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    for kind, ids in (("string", [f"k{i % 90:03d}" for i in range(300)]), ("long", [i % 90 for i in range(300)]), ("date", [datetime.date(2020, 1, 1) + datetime.timedelta(i) for i in range(300)])):
+        rows = [*zip(ids, words, strict=True), (None, "null id one"), (None, None)]
+        d = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+        ties = {r.t: r.x for r in d.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("x")).collect()}
+        order = sorted([(i, t or "") for i, t in rows], key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, ties[x[1]]))
+        want = []
+        for k, (i, t) in enumerate(order):
+            after, half = order[(k + 1) % len(order)][1], len(t) // 2
+            want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+        for ranges in (1, 7):
+            got = syncmers.compare_with_edits(d, ranges=ranges).collect()
+            assert sorted((str(x.doc_id), x.n_chars, x.edited_sha256) for x in got) == sorted(want)
 
 
 def test_fingerprints_grow_and_insertions_keep_likeness():

@@ -3,25 +3,27 @@
 A run of ``K`` bytes is an anchor if, of the ``S``-byte strings inside it, a
 smallest one (by hash) lies at either end. Whether a run is an anchor depends
 on its own bytes alone, so a passage keeps its anchors wherever it stands.
-A fingerprint holds the anchors of hashes under ``DENSE``, and the ``KEEP`` of
+A fingerprint holds one anchor in ``share`` by hash, and the ``keep`` of
 smallest hash at least, with the byte offsets of their first places: a sample
-that grows with the text and is the same wherever texts agree. Likeness counts,
-among the sampled anchors of both texts together, the longest chain of those
-that both have in the same order, so insertions cost only what they add.
+that grows with the text and is the same wherever texts agree. With a share of
+1 it holds all anchors. Likeness counts, among the sampled anchors of both
+texts together, the longest chain of those that both have in the same order,
+so insertions cost only what they add.
 
 Edge cases: null counts as empty; the empty text has the fingerprint ``-`` and
-is like the empty text alone (1, else 0). Texts under 256 bytes have anchors of
-a smaller scale besides, sampled and compared apart, and only among such texts;
-one with none at all has one made of all its bytes. Rows of equal id are ordered
-by text; of repeated rows each is the next one's predecessor. Null ids come
-first. With one row, that row is its own next. Only the two named columns are
-read, so other columns cannot clash. An empty table gives an empty result.
+is like the empty text alone (1, else 0). A text without an anchor, as one of
+fewer bytes than a run has, gets one made of all its bytes. Ids can be
+integers, strings or dates. Rows of equal id are ordered by a hash of their text;
+of repeated rows each is the next one's predecessor. Null ids come first. With
+one row, that row is its own next. Only the two named columns are read, so
+other columns cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,25 @@ from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
 
-K, S, KEEP = 16, 8, 64
-#: Anchors of hashes below this are always kept, one in 16, so that a fingerprint grows with its text.
-DENSE = np.uint64(1 << 60)
-#: Texts of fewer bytes than SHORT have anchors of this smaller scale besides.
-SHORT, SMALL_K, SMALL_S = 256, 6, 3
+K, S = 12, 6
+#: Bytes of texts that a range should hold, and ids that are looked at for each cut between ranges.
+RANGE_BYTES, TRIES = 64_000_000, 20
+
+
+@dataclass(frozen=True)
+class Sample:
+    """Which anchors a fingerprint keeps: one in ``share`` by hash, and ``keep`` at least if there are so many. A share of 1 keeps all."""
+
+    keep: int = 64
+    share: int = 16
+
+    @property
+    def below(self) -> np.uint64:
+        """The largest hash that is kept in any case."""
+        return np.uint64(2**64 // self.share - 1)
+
+
+DEFAULT = Sample()
 
 
 def _scale(data: np.ndarray, offsets: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,62 +73,46 @@ def _scale(data: np.ndarray, offsets: np.ndarray, k: int, s: int) -> tuple[np.nd
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, offset in the text) of every anchor of a block's texts; hashes of the smaller scale are odd, others even."""
+    """(text, hash, offset in the text) of every anchor of a block's texts."""
     text, value, at = _scale(data, offsets, K, S)
-    value &= ~np.uint64(1)
     size = np.diff(offsets)
-    small = np.flatnonzero((size < SHORT) & (size > 0))
-    if len(small):
-        own = np.concatenate([data[offsets[d] : offsets[d + 1]] for d in small])
-        t, v, a = _scale(own, np.concatenate([[0], np.cumsum(size[small])]), SMALL_K, SMALL_S)
-        text, value, at = np.append(text, small[t]), np.append(value, v | np.uint64(1)), np.append(at, a)
     for d in np.flatnonzero((np.bincount(text, minlength=len(size)) == 0) & (size > 0)):
         own = data[offsets[d] : offsets[d + 1]].tobytes()
-        text, at, value = np.append(text, d), np.append(at, 0), np.append(value, np.uint64(xxhash.xxh3_64_intdigest(own) | 1))
+        text, at, value = np.append(text, d), np.append(at, 0), np.append(value, np.uint64(xxhash.xxh3_64_intdigest(own)))
     return text, value, at
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def fingerprints(data: np.ndarray, offsets: np.ndarray, sample: Sample = DEFAULT) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes in ascending order, offsets of their first places) of the kept anchors of each text."""
     text, value, at = anchors(data, offsets)
-    n = 2 * (len(offsets) - 1)
+    n = len(offsets) - 1
     if not n:
         return []
-    # Each scale is a sample of its own.
-    text = 2 * text + (value & np.uint64(1)).astype(np.int64)
     # Far too large hashes cannot be among the smallest; the rest are ordered. Repeats are why some room is left, and a text that falls short is done in full.
     count = np.bincount(text, minlength=n)
-    bound = np.where(count > 8 * KEEP, (4.0 * KEEP / np.maximum(count, 1)) * 2.0**64, 2.0**64)
-    bound = np.maximum(bound, float(DENSE))
-    maybe = value.astype(np.float64) < bound[text]
-    out, short = _smallest(text[maybe], value[maybe], at[maybe], n), []
-    for d in np.flatnonzero(count > 8 * KEEP):
-        if len(out[d][0]) < KEEP:
-            short.append(d)
+    many = count > 8 * sample.keep
+    bound = np.where(many, (4.0 * sample.keep / np.maximum(count, 1)) * 2.0**64, 2.0**64)
+    maybe = (value.astype(np.float64) < bound[text]) | (value <= sample.below)
+    out = _smallest(text[maybe], value[maybe], at[maybe], n, sample)
+    short = [d for d in np.flatnonzero(many) if len(out[d][0]) < sample.keep]
     if short:
         own = np.isin(text, short)
-        again = _smallest(text[own], value[own], at[own], n)
+        again = _smallest(text[own], value[own], at[own], n, sample)
         for d in short:
             out[d] = again[d]
-    return [_merged(large, small) if len(small[0]) else large for large, small in zip(out[::2], out[1::2], strict=True)]
-
-
-def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    value, at = np.append(a[0], b[0]), np.append(a[1], b[1])
-    order = np.argsort(value)
-    return value[order], at[order]
+    return out
 
 
-def _smallest(text, value, at, n) -> list[tuple[np.ndarray, np.ndarray]]:
+def _smallest(text, value, at, n, sample: Sample) -> list[tuple[np.ndarray, np.ndarray]]:
     order = np.lexsort((at, value, text))
     text, value, at = text[order], value[order], at[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     text, value, at = text[new], value[new], at[new]
     first = np.searchsorted(text, np.arange(n + 1))
-    # A text keeps those under DENSE, and KEEP at least.
-    dense = np.bincount(text[value < DENSE], minlength=n)
-    return [(value[a : min(b, a + m)], at[a : min(b, a + m)]) for a, b, m in zip(first[:-1], first[1:], np.maximum(dense, KEEP), strict=True)]
+    dense = np.bincount(text[value <= sample.below], minlength=n)
+    stop = np.minimum(first[1:], first[:-1] + np.maximum(dense, sample.keep))
+    return [(value[a:b], at[a:b]) for a, b in zip(first[:-1], stop, strict=True)]
 
 
 def written(fp: tuple[np.ndarray, np.ndarray]) -> str:
@@ -125,35 +125,25 @@ def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(o, 16) for _, o in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """From 0 to 1: among the smallest anchors of both, the part that both have at offsets in agreement. The smaller scale counts if both texts have it."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sample: Sample = DEFAULT) -> float:
+    """From 0 to 1: among the anchors of both that the sample takes from their union, the part that both have in one order."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    small = [(x[0] & np.uint64(1)).astype(bool) for x in (a, b)]
-    got = [_agreeing(*((x[0][~z], x[1][~z]) for x, z in zip((a, b), small, strict=True)))]
-    if all(z.any() for z in small):
-        got.append(_agreeing(*((x[0][z], x[1][z]) for x, z in zip((a, b), small, strict=True))))
-    most = sum(m for _, m in got)
-    return sum(n for n, _ in got) / most if most else 0.0
-
-
-def _agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """Of one scale: how many of the smallest anchors of both agree, and how many these are."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     union = np.union1d(a[0], b[0])
-    most = max(min(KEEP, len(union)), int(np.searchsorted(union, DENSE)))
+    most = max(min(sample.keep, len(union)), int(np.searchsorted(union, sample.below, "right")))
     if len(union) > most:
-        keep = both <= union[most - 1]
-        i, j = i[keep], j[keep]
+        some = both <= union[most - 1]
+        i, j = i[some], j[some]
     # The longest chain of anchors in the same order in both: ends[k] is the least place in b at which one of k + 1 ends.
     ends: list[int] = []
     for place in b[1][j][np.argsort(a[1][i])].tolist():
         k = bisect_left(ends, place)
         ends[k : k + 1] = [place]
-    return len(ends), most
+    return len(ends) / most
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: Sample = DEFAULT) -> DataFrame:
     """One row per row of docs: the id and the fingerprint of the whole text. Nothing is shuffled."""
     tb.bound_batches(docs.sparkSession)
 
@@ -161,51 +151,65 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             data, offsets = tb.column_bytes(b.column(1))
             for i, j in tb.blocks(offsets):
-                got = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                got = fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sample)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([written(x) for x in got])], names=[id_col, "fingerprint"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
-def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Ids that cut the table into about n ranges of like numbers of rows."""
-    got = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n).alias("q")).first().q if n > 1 else None
-    return sorted(set(got or []))
+def _cuts(docs: DataFrame, least: int) -> list[tuple]:
+    """Sorted (id, tie) of rows, the table's first one among them, that cut it into ranges of like numbers of bytes; least: ranges at least.
+
+    A row is looked at with a chance that grows with its bytes, decided by a hash of it, so about TRIES rows a range are sent here.
+    """
+    size = F.octet_length("text") + 1
+    total = docs.agg(F.sum(size).alias("n")).first().n
+    if total is None:
+        return []
+    ranges = max(least, -(-total // RANGE_BYTES))
+    chance = F.least(F.lit(1.0), size / F.lit(total / (ranges * TRIES)))
+    unit = F.xxhash64("tie", F.lit(1)) / F.lit(2.0**64) + 0.5
+    drawn = [(r.id, r.tie) for r in docs.where(unit < chance).select("id", "tie").distinct().orderBy("id", "tie").collect()]
+    first = docs.agg(F.min(F.struct(F.col("id").isNotNull(), "id", "tie")).alias("r")).first().r
+    return sorted({(first["id"], first["tie"]), *drawn[TRIES // 2 :: TRIES]}, key=_order)
+
+
+def _order(key: tuple) -> tuple:
+    """Nulls first, as Spark has them."""
+    return (False, 0, key[1]) if key[0] is None else (True, *key)
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, sample: Sample = DEFAULT) -> DataFrame:
     """Per row: its fingerprint, that of its edited text (the last half, rounded down, gives way to as much of the
     next row's beginning) and the likeness of both, and of the row's to the next row's.
 
     Rows are dealt by ranges of the id and meet their successor by streaming over the sorted range; the first row
     of each range is sent to the range before it as well. This is the one shuffle, and each text is in it once.
+    Rows of one id are spread over as many ranges as their bytes need.
     """
     tb.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ranges is None:
-        ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _ranges(docs, ranges)
-    # The range of an id is the number of cuts at or below it; null ids are in the first.
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    docs = docs.withColumn("part", part)
-    heads = docs.groupBy("part").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("null")).select(F.col("part").alias("p"), F.when(~F.col("null"), F.col("least")).alias("least"))
-    # A range without rows hands on to the one before: each head goes to the last range with rows before it, that of the first to the last one.
-    known = sorted((r.p, r.least) for r in heads.collect())
-    if not known:
-        return spark.createDataFrame([], f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, {_EDITS}")
-    to = {least: known[k - 1][0] for k, (_, least) in enumerate(known)}
-    goes = F.lit(None).cast("int")
-    for least, p in to.items():
-        goes = F.when(F.col("id").eqNullSafe(F.lit(least)), F.lit(p)).otherwise(goes) if len(to) <= 1 else goes
-    if len(to) > 1:
-        pairs = F.map_from_arrays(F.array(*[F.lit(x) for x in to if x is not None]), F.array(*[F.lit(p) for x, p in to.items() if x is not None]))
-        goes = F.when(F.col("id").isNull(), F.lit(to.get(None)).cast("int")).otherwise(pairs[F.col("id")])
-    both = docs.withColumn("goes", goes).select("id", "text", F.explode(F.when(F.col("goes").isNull(), F.array(F.struct("part", F.lit(False).alias("head")))).otherwise(F.array(F.struct("part", F.lit(False).alias("head")), F.struct(F.col("goes").alias("part"), F.lit(True).alias("head"))))).alias("x")).select("id", "text", "x.part", "x.head")
-    # Ranges are dealt by number, so each is whole in its partition.
-    dealt = both.repartitionByRange(len(known), "part").sortWithinPartitions("part", "head", "id", "text")
+    docs = docs.withColumn("tie", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
+    cuts = [_order(c) for c in _cuts(docs, ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))]
+    if not cuts:
+        return spark.createDataFrame([], f"`{id_col}` {kind}, {_EDITS}")
+
+    @F.arrow_udf("array<int>")
+    def parts(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        """The range of a row; for the first row of a range, that of the range before it too. The table's first row comes after its last."""
+        out = []
+        for key in zip(ids.to_pylist(), ties.to_pylist(), strict=True):
+            key = _order(key)
+            k = bisect_right(cuts, key) - 1
+            out.append([k, (k - 1) % len(cuts)] if cuts[k] == key else [k])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    both = docs.select("id", "text", "tie", F.posexplode(parts("id", "tie")).alias("head", "part"))
+    both = both.select("id", "text", "part", (F.col("head") > 0).alias("head"), "tie")
+    dealt = both.repartitionById(len(cuts), "part").sortWithinPartitions("part", "head", "id", "tie").drop("tie")
 
     def run(batches):
         held: list = []
@@ -218,16 +222,18 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             data, offsets = tb.column_bytes(pa.array([*texts, after, *edited], pa.large_string()))
             got: list = []
             for i, j in tb.blocks(offsets):
-                got += fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                got += fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sample)
             n = len(texts)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], ids), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-                    pa.array([written(x) for x in got[:n]]), pa.array([written(x) for x in got[n + 1 :]]),
-                    pa.array([likeness(got[k], got[n + 1 + k]) for k in range(n)], pa.float64()), pa.array([likeness(got[k], got[k + 1]) for k in range(n)], pa.float64()),
-                ],
-                names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+            columns = {
+                id_col: pa.array([r[0] for r in rows], ids),
+                "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+                "fingerprint": pa.array([written(x) for x in got[:n]]),
+                "edited_fingerprint": pa.array([written(x) for x in got[n + 1 :]]),
+                "near_edited": pa.array([likeness(got[k], got[n + 1 + k], sample) for k in range(n)], pa.float64()),
+                "near_next": pa.array([likeness(got[k], got[k + 1], sample) for k in range(n)], pa.float64()),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         ids, size, part_now, done = None, 0, None, False
         for b in batches:
