@@ -292,6 +292,67 @@ def test_secret_field(spark):
     assert clean[1].text == "db pass: [SECRET] done" and clean[3].text == 'é [SECRET]" x' and clean[2].text == rows[1][1] and all(r.n_chars == len(r.text) for r in clean.values())
 
 
+def planted_secrets(seed=5, n=150):
+    """For each kind, (text, start, end) with a secret there; and clean texts that look a little like it."""
+    r = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda c, k: "".join(r.choice(c) for _ in range(k))
+    words = "the service needs this value to start so keep it safe and rotate every month with care please when new people join our team in spring".split()
+    prose = lambda k: " ".join(r.choice(words) for _ in range(k))
+    kinds = {
+        "github": lambda: (f"{prose(2)} use ", "ghp_" + some(letters, 36)),
+        "jwt": lambda: ("Authorization: Bearer ", ".".join(["eyJ" + some(letters, 20), some(letters + "_-", 60), some(letters + "_-", 43)])),
+        "key of 40": lambda: ("aws_secret_access_key = ", some(letters + "+/", 40)),
+        "slack": lambda: ("slack: ", "xoxb-" + some("0123456789", 12) + "-" + some(letters, 24)),
+        "bearer": lambda: ("bearer ", some(letters, 32)),
+        "upper": lambda: ("api key: ", some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24)),
+        "hex inside": lambda: ("key ", "sk_live_" + some("0123456789abcdef", 20) + some("XYZQWghijk", 6) + some(letters, 8)),
+        "nine": lambda: ("password: ", some(letters, 8) + r.choice("0123456789")),
+        "signs": lambda: ('password = "', some(letters, 5) + r.choice("!#$%&*") + some(letters, 4) + r.choice("!@?^") + some("0123456789", 2)),
+    }
+    plain = [
+        lambda: "the password is wrong again", lambda: f"call 555-{some('0123456789', 4)}", lambda: f"on 2024-11-{r.randint(10, 28)} at 10:30", lambda: f"see https://example.org/a/b-c?id={some('0123456789', 5)}",
+        lambda: f"version 3.11.{r.randint(0, 30)}", lambda: f"order {some('0123456789', 7)} shipped", lambda: "camelCaseNames and snake_case_names_2", lambda: f"mail anna.berg{r.randint(1, 99)}@example.com",
+    ]
+    out = {}
+    for kind, make in kinds.items():
+        out[kind] = []
+        for _ in range(n):
+            head, secret = make()
+            at = len(before := f"{prose(r.randint(4, 12))}. {head}")
+            out[kind].append((before + secret + ('"' if head.endswith('"') else "") + f" {prose(r.randint(3, 10))}.", at, at + len(secret)))
+    return out, [f"{prose(30)} {r.choice(plain)()} {prose(10)}" for _ in range(4 * n)]
+
+
+def test_planted_secrets_are_found_whole():
+    field = secrets.fit()
+    rows, clean = planted_secrets()
+    find = lambda texts: secrets.find(texts, *tb.column_bytes(pa.array(texts)), field)
+    for kind, cases in rows.items():
+        whole = sum(secrets.MARK in secrets.redact(t, s) and set(range(a, b)) <= {k for i, _, j in s for k in range(i, j)} for (t, a, b), s in zip(cases, find([t for t, _, _ in cases]), strict=True))
+        assert whole >= 0.9 * len(cases), kind
+    assert sum(map(bool, find(clean))) <= 0.01 * len(clean)
+
+
+def test_no_half_of_a_secret_stays():
+    field = secrets.fit()
+    for text, left in (("use ghp_0123456789abcdef0XYZQWsecretTAIL99 now", "use [SECRET] now"), ("key sk_live_0123456789abcdef0123456789abcdefXyZ9 end", "key [SECRET] end")):
+        found = secrets.find([text], *tb.column_bytes(pa.array([text])), field)[0]
+        assert secrets.redact(text, found) == left and set(secrets.base_spans(text)) <= set(found)
+
+
+def test_the_sample_of_the_field_is_bounded(spark):
+    rows = [(7, f"token = Zk39fjQ0aLm2XyTT{k} and some more words for text {k}") for k in range(500)] + [(None, "x"), (8, None)]
+    sent = []
+    old = secrets.fit
+    try:
+        secrets.fit = lambda w: sent.extend(w) or old(w)
+        secrets.fit_on(spark.createDataFrame(rows, "doc_id long, text string"), sample_rows=2, sample_windows=2)
+    finally:
+        secrets.fit = old
+    assert 0 < len(sent) <= 4
+
+
 def brute_bits(train, order, least, text):
     follow = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:

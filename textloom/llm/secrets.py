@@ -3,15 +3,17 @@
 Tokens are tagged B (a secret begins), I (it goes on) or O from their shape,
 the words and signs beside them and figures of the whole file. The model is
 fitted by gradient ascent on forward-backward expectations, over lines made
-from a fixed seed and over a bounded sample of the corpus (``sample_rows``
-rows of smallest hash, labelled by the base patterns); nothing else is
-learned from. Decoding is exact Viterbi. A token whose O emission leads by
+from a fixed seed and over a bounded sample of the corpus: the texts of the
+``sample_rows`` ids of smallest hash, labelled by the base patterns, of each of
+which at most ``sample_windows`` windows of 24 tokens are learned from. Nothing
+else is learned from, and only these windows are sent to the driver. Decoding is exact Viterbi. A token whose O emission leads by
 more than transitions could ever make up for is O in every best path, so the
 chain falls into short independent runs between such tokens, and the runs of
 hundreds of texts are decoded together.
 
-Spans of three base patterns always stay; the field adds spans that touch none
-of them (kind ``crf``). Offsets are code points, ends exclusive.
+Spans of three base patterns always stay; the field adds its spans (kind
+``crf``) unless they lie inside a base span. A span of the field that goes on
+where a base span ends stays whole, and redaction hides the union. Offsets are code points, ends exclusive.
 
 Edge cases: a null or empty text has no spans. Repeated rows get a row each.
 Only the named columns are read, so other columns cannot clash. An empty table
@@ -43,7 +45,7 @@ TOKEN = tb._table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *
 
 _DIGIT, _UPPER, _LOWER = tb._table(range(48, 58)), tb._table(range(65, 91)), tb._table(range(97, 123))
 _HEXY, _HIGH = tb._table([*range(48, 58), *range(97, 103)]), tb._table(range(0x80, 0x100))
-N_FEATURES = 30
+N_FEATURES = 33
 O, B, I = 0, 1, 2
 MARK = "[SECRET]"
 
@@ -101,6 +103,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     assigned = inside_prev & (signs[starts] > signs[np.minimum(gap_from, starts)]) & (starts - gap_from <= 6)
     back = lambda v, k=1: np.concatenate([np.zeros(k, v.dtype), v[:-k]]) if len(v) > k else np.zeros(len(v), v.dtype)
     ahead = lambda v: np.concatenate([v[1:], np.zeros(1, v.dtype)])
+    blanks = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~tb.NOT_SPACE[data], out=blanks[1:])
+    # Signs but no blank stand between a token and the one before it.
+    glued = inside_prev & (blanks[starts] == blanks[np.minimum(gap_from, starts)])
     length = np.maximum(np.diff(offsets), 1)
     total = tb.per_text(isdigit, offsets) / length
     code = tb.per_text((data == 61) | (data == 123) | (data == 59) | (data == 40), offsets) / length
@@ -110,6 +116,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         high > 0, turns >= 3, (upper == size) & (size > 1), (turns >= 6) & (size >= 16),
         inside_prev & back(cue), inside_prev & back(cue, 2) & back(inside_prev), np.isin(before, quotes), np.isin(after, quotes),
         assigned, inside_prev & np.isin(before, (46, 61)) & (starts - gap_from <= 1), inside_prev & back(mixed), inside_next & ahead(mixed),
+        glued, ahead(glued), glued & back(assigned) & (size >= 2),
         assigned & back(cue) & (size >= 8), cue, (total >= 0.05)[text], (code >= 0.01)[text], (lower == size) & (size < 16), (upper > 1) & (lower > 1) & (turns == 0) & (size >= 16),
     ]
     for k, c in enumerate(columns):
@@ -230,11 +237,12 @@ def made_lines(seed: int = 7, n: int = 700) -> list[tuple[str, list[tuple[int, i
         if i % 2:
             key = r.choice(CUES)
             key = r.choice([key, key.upper(), key.capitalize()])
-            kind = r.randint(0, 6)
+            kind = r.randint(0, 7)
             secret = [
                 lambda: some("0123456789abcdef", r.choice([24, 32, 40, 64])), lambda: some(alnum, r.randint(20, 44)), lambda: some(alnum + "+/", r.randint(24, 48)),
                 lambda: ".".join(some(alnum + "_-", k) for k in (r.randint(16, 30), r.randint(24, 60), r.randint(24, 43))),
-                lambda: r.choice(["sk", "pk", "ghp", "xoxb"]) + "_" + some(alnum, r.randint(20, 36)), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: some(alnum, r.randint(12, 19)),
+                lambda: r.choice(["sk", "pk", "ghp", "xoxb"]) + "_" + some(alnum, r.randint(20, 36)), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: some(alnum, r.randint(8, 19)),
+                lambda: some("!#$%&*?~^", r.randint(1, 2)).join(some(alnum, r.randint(2, 7)) + some("0123456789", k) for k in (0, 0, r.randint(1, 2))),
             ][kind]()
             sign, quote = r.choice([" = ", "=", ": ", ":", " := ", " "]), r.choice(["", '"', "'"])
             if kind in (1, 2, 3, 4, 5) and r.random() < 0.3:
@@ -253,57 +261,72 @@ def made_lines(seed: int = 7, n: int = 700) -> list[tuple[str, list[tuple[int, i
     return out
 
 
-def _windows(texts: list[tuple[str, list[tuple[int, int]]]], size: int = 24, others: int = 2) -> tuple[list, list]:
-    """Windows of tokens about each secret, and some others, with labels."""
-    xs, ys = [], []
-    for k, (text, secrets) in enumerate(texts):
-        data, offsets = tb.column_bytes(pa.array([text]))
-        s, e, _, x = features(data, offsets)
-        if not len(s):
-            continue
-        y = np.zeros(len(s), np.int64)
-        at = []
-        for a, b in secrets:
-            a, b = len(text[:a].encode()), len(text[:b].encode())
-            own = np.flatnonzero((s < b) & (e > a))
-            if len(own):
-                y[own], y[own[0]] = I, B
-                at.append(max(0, int(own[0]) - size // 2))
-        at += [int(z) for z in np.random.default_rng(k).integers(0, max(1, len(s) - size), others)]
-        for a in at[:6]:
-            if y[a] == I:
-                continue
-            xs.append(x[a : a + size])
-            ys.append(y[a : a + size])
-    return xs, ys
-
-
-def fit(samples: list[str], steps: int = 80) -> Field:
-    """The field for made lines and sample texts, the latter labelled by the base patterns."""
-    silver = []
-    for t in samples:
-        spans = []
-        for start, kind, end in base_spans(t):
-            if kind == 0:
-                m = ASSIGN.match(t, start)
-                spans.append((m.start(2), m.end(2)))
-            elif kind == 1 or not t[start:end].isdigit():
-                spans.append((start, end))
-        silver.append((t, spans))
-    xs, ys = _windows(made_lines() + silver)
-    length = max(map(len, xs))
-    x, y, live = np.zeros((len(xs), length, N_FEATURES)), np.zeros((len(xs), length), np.int64), np.zeros((len(xs), length), bool)
-    for k, (a, b) in enumerate(zip(xs, ys, strict=True)):
+Window = tuple[np.ndarray, np.ndarray]
+
+
+def windows(text: str, secrets: list[tuple[int, int]], number: int, size: int = 24, others: int = 2, most: int | None = None) -> list[Window]:
+    """(features, labels) of stretches of tokens about each secret, and of some others; at most ``most`` of them, evenly taken."""
+    data, offsets = tb.column_bytes(pa.array([text]))
+    s, e, _, x = features(data, offsets)
+    if not len(s):
+        return []
+    y = np.zeros(len(s), np.int64)
+    at = []
+    for a, b in secrets:
+        a, b = len(text[:a].encode()), len(text[:b].encode())
+        own = np.flatnonzero((s < b) & (e > a))
+        if len(own):
+            y[own], y[own[0]] = I, B
+            at.append(max(0, int(own[0]) - size // 2))
+    at += [int(z) for z in np.random.default_rng(number).integers(0, max(1, len(s) - size), others)]
+    if most is not None and len(at) > most:
+        at = [at[k * len(at) // most] for k in range(most)]
+    # A window that would begin inside a secret begins where the secret does.
+    starts = []
+    for a in at:
+        while y[a] == I:
+            a -= 1
+        starts.append(a)
+    return [(x[a : a + size], y[a : a + size]) for a in starts]
+
+
+def labelled(text: str) -> list[tuple[int, int]]:
+    """What the base patterns call secrets: values of assignments, keys, and hex strings that are not plain numbers."""
+    spans = []
+    for start, kind, end in base_spans(text):
+        if kind == 0:
+            m = ASSIGN.match(text, start)
+            spans.append((m.start(2), m.end(2)))
+        elif kind == 1 or not text[start:end].isdigit():
+            spans.append((start, end))
+    return spans
+
+
+def fit(sample: list[Window] | None = None, steps: int = 80) -> Field:
+    """The field for made lines and sampled windows."""
+    pairs = [w for k, (t, spans) in enumerate(made_lines()) for w in windows(t, spans, k)] + list(sample or ())
+    length = max(len(y) for _, y in pairs)
+    x, y, live = np.zeros((len(pairs), length, N_FEATURES)), np.zeros((len(pairs), length), np.int64), np.zeros((len(pairs), length), bool)
+    for k, (a, b) in enumerate(pairs):
         x[k, : len(a)], y[k, : len(b)], live[k, : len(b)] = a, b, True
     return train(x, y, live, steps)
 
 
-def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 256) -> Field:
-    """Fits on at most sample_rows rows, those of smallest hash of the id. The ids are chosen first, so that only their texts are sent."""
-    ids = docs.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("h"), "id", "text").collect()
-    # Rows that repeat an id could break the bound, so it is held here as well.
-    return fit([r.text for r in sorted(rows, key=lambda r: (r.h, r.id, r.text))[:sample_rows]])
+def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 256, sample_windows: int = 6) -> Field:
+    """Fits on at most sample_windows windows of each of the sample_rows ids of smallest hash. Texts stay in the tasks; an id with several has the one of smallest hash."""
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id").agg(F.min_by("text", F.sha2("text", 256)).alias("text")).select(F.xxhash64("id").alias("h"), "text")
+
+    def run(batches):
+        for b in batches:
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = windows(text, labelled(text), h & 0xFFFFFFFF, most=sample_windows)
+                xs, ys = [w[0].astype(np.uint8).tobytes() for w in got], [w[1].astype(np.uint8).tobytes() for w in got]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["h", "k", "x", "y"])
+
+    got = sorted(rows.mapInArrow(run, "h long, k int, x binary, y binary").collect(), key=lambda r: (r.h, r.k))
+    return fit([(np.frombuffer(r.x, np.uint8).reshape(-1, N_FEATURES), np.frombuffer(r.y, np.uint8)) for r in got])
 
 
 def find(texts: list[str], data: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -321,7 +344,7 @@ def find(texts: list[str], data: np.ndarray, offsets: np.ndarray, field: Field)
             low = int(offsets[d])
             s = len(data[low : starts[a]].tobytes().decode())
             e = s + len(data[starts[a] : ends[b]].tobytes().decode())
-            if all(e <= i or s >= j for i, _, j in out[d]):
+            if not any(i <= s and e <= j for i, k, j in out[d] if k < 3):
                 out[d].append((s, 3, e))
     return [sorted(x) for x in out]
 
