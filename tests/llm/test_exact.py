@@ -390,6 +390,21 @@ def test_code_lengths():
         assert math.isclose(langid.code_lengths(np.frombuffer(q, np.uint8), np.array([0, len(q)]), [tree])[0, 0], brute_bits(train, 3, 2, q), rel_tol=1e-5)
 
 
+def test_only_letters_make_a_language(spark):
+    train = [(i, f"the cat and the dog number {i}" if i % 2 else f"der hund und die katze nummer {i}", "en" if i % 2 else "de") for i in range(40)]
+    d = spark.createDataFrame([*train, (100, "½ ²", None), (101, "Ⅷ ① 12 _", None), (102, "½ ª", None), (103, "the cat", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(d, langid.learn(d)).collect()}
+    assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].score == 0 and got[102].lang_pred in ("en", "de") and got[103].lang_pred == "en"
+
+
+def test_the_sample_of_languages_is_bounded_and_never_empty(spark):
+    own = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(7 + k % 3, f"text {k} of the same few ids", "en") for k in range(2000)] + [(i, "immer derselbe text", "de") for i in range(500)] + [(own, "x" * 5000, "fr"), (own, "y" * 5000, "fr"), (1, None, "es"), (2, "", "es")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.sample_texts(d, "doc_id", "text", "lang", 48, 6000)
+    assert {k: len(v) for k, v in got.items()} == {"de": 1, "en": 48, "fr": 1}
+
+
 @needs_data
 def test_languages_and_toxicity_of_held_out_rows(spark):
     got = queries.QUERIES["op6_language_id"](spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -401,6 +416,47 @@ def test_languages_and_toxicity_of_held_out_rows(spark):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) > 0.8 * len(pos) * len(neg)
 
 
+def naive_sums(lexicon, folded):
+    """Every term and phrase looked for at every place."""
+    places = lambda x: [i for i in range(len(folded)) if folded.startswith(x, i)]
+    excused = [(i, i + len(p)) for p in lexicon.exceptions for i in places(p)]
+    best = {}
+    for t, w in lexicon.terms.items():
+        for i in places(t):
+            best[i] = max(best.get(i, (0, 0)), (w, i + len(t)))
+    found = [w for i, (w, end) in best.items() if not any(a <= i and end <= b for a, b in excused)]
+    return sum(found), len(found)
+
+
+def test_matches_against_a_naive_scan():
+    r = random.Random(21)
+    words = ["idiot", "idiots", "scum", "sc", "scumbag", "bag", "damn", "good", "id", "ba"]
+    for _ in range(60):
+        beginnings = {" " + w[: r.randint(2, len(w))]: r.choice([1.0, 2.0, 3.5]) for w in r.sample(words, 4)}
+        terms = beginnings | {f" {w} ": r.choice([0.5, 4.0]) for w in r.sample(words, 3)}
+        lexicon = toxicity.Lexicon(terms, [f" {a} {b} " for a, b in (r.sample(words, 2) for _ in range(3))])
+        m = toxicity.Matcher(lexicon)
+        for _ in range(20):
+            folded = toxicity.fold(r.choice([" ", ", "]).join(r.choice(words) for _ in range(r.randint(0, 30))))
+            got, want = m.sums(folded), naive_sums(lexicon, folded)
+            assert math.isclose(got[0], want[0]) and got[1] == want[1]
+
+
+def test_the_sample_of_the_lexicon_is_bounded(spark):
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(own[0], f"copy {k}") for k in range(300)] + [(i, "a much longer idiot text " * 20) for i in own[1:]] + [(None, "idiot")]
+    labels = spark.createDataFrame([(i, i % 2) for i in own] + [(own[0], None), (None, 1)], "doc_id long, toxic int")
+    seen, old = [], toxicity.fit
+    try:
+        toxicity.fit = lambda rows, how: seen.append(rows)
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        toxicity.learn(d, labels, sample_rows=50)
+        toxicity.learn(d, labels, sample_bytes=5000)
+    finally:
+        toxicity.fit = old
+    assert len(seen[0]) == 50 and 0 < sum(len(t) for t, _ in seen[1]) <= 5000
+
+
 def test_folding_and_exceptions():
     bad = [f"w{i} idiot v{i}" for i in range(30)]
     lexicon = toxicity.fit([(t, 1) for t in bad] + [(f"a calm text u{i}", 0) for i in range(60)] + [(f"class idiot u{i}", 0) for i in range(5)])

@@ -1,7 +1,9 @@
 """Language identification by prediction by partial matching.
 
 For each language a tree of byte contexts up to ``order`` long is counted over
-a bounded sample and then frozen. The probability of a byte is that of the
+a bounded sample, the ``per_language`` different texts of smallest hash and of
+these ``sample_bytes`` bytes at most (the first is taken whole in any case),
+and then frozen. The probability of a byte is that of the
 longest known context; a byte that the context has not seen costs an escape
 (distinct / (total + distinct)) and is looked for in the next shorter one,
 where what the longer ones have seen is excluded; the last resort is a uniform
@@ -13,8 +15,12 @@ place depends on the last ``order`` bytes alone, and the tree becomes a finite
 automaton. A text is scored in strips, each begun ``order`` bytes early to
 find its state: the sum over strips is exactly the code length of the text.
 
-Edge cases: a null text and a text without a letter are ``und`` with score 0.
-Ties go to the first language by name. Repeated rows get a row each. Only the
+A language takes about 5 MB in each worker, so hundreds of them are the limit
+of this form.
+
+Edge cases: a null text and a text without a letter (Unicode category L) are
+``und`` with score 0. Copies of a text are learned from once, and rows that
+repeat an id are rows like any other. Ties go to the first language by name. Repeated rows get a row each. Only the
 named columns are read, so other columns cannot clash. If no row has a
 language to learn, every text is ``und``. An empty table gives an empty result.
 """
@@ -26,17 +32,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
 
 ORDER = 4
 STRIP = 256
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are no decimal digits; which of them it is isalpha tells.
+MAYBE_LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(c.isalpha() for m in MAYBE_LETTERS.finditer(text) for c in m[0])
+
+
 @dataclass(frozen=True)
 class Tree:
     """An automaton: after byte class c in state s comes state step[s, c], at a cost of cost[s, c] bits.
@@ -160,29 +171,26 @@ class LanguageModel:
     trees: list[Tree]
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> dict[str, list[bytes]]:
-    """For each language, the whole texts of its per_language rows of smallest hash among rows to learn from.
+def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, sample_bytes: int) -> dict[str, list[bytes]]:
+    """For each language, whole texts: of those of rows to learn from the per_language of smallest hash, as far as their bytes go.
 
-    The numbers of rows are counted first, so that a second pass can pass over all hashes that are too large to be
-    among the smallest but for a chance of about one in a million; only what passes is sent to the driver.
+    Hashes are ranked first, of which each task hands on its per_language smallest only; then their texts are read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("id").cast("string")) % 5 != 0))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    share = lambda n: min(1.0, (per_language + 5 * per_language**0.5 + 5) / n)
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, share(n))])
-    unit = F.xxhash64("id") / F.lit(2.0**64) + 0.5
-    got: dict[str, list] = {}
-    for r in rows.withColumn("u", unit).where(F.col("u") <= bound[F.col("lang")]).select("lang", "u", "text").collect():
-        got.setdefault(r.lang, []).append((r.u, r.text))
-    return {lang: [t.encode() for _, t in sorted(x)[:per_language]] for lang, x in sorted(got.items())}
+    learned = F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.crc32(F.col("id").cast("string")) % 5 != 0)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(learned).withColumn("h", F.xxhash64("text"))
+    ranked = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    top = ranked.select(F.col("lang").alias("l"), F.col("h").alias("k"))
+    own = rows.join(F.broadcast(top), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h")) - F.octet_length("text")
+    got: dict[str, list[bytes]] = {}
+    for r in own.withColumn("before", so_far).where((F.col("before") < sample_bytes) & ((F.col("before") == 0) | (F.col("before") + F.octet_length("text") <= sample_bytes))).select("lang", "h", "text").orderBy("lang", "h").collect():
+        got.setdefault(r.lang, []).append(r.text.encode())
+    return got
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 48, order: int = ORDER) -> LanguageModel:
-    got = {k: [t for t in v if t] for k, v in sample_texts(docs, id_col, text_col, lang_col, per_language).items()}
-    names = [k for k, v in got.items() if v]
-    return LanguageModel(names, [grow(got[k], order) for k in names])
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 48, order: int = ORDER, sample_bytes: int = 2_000_000) -> LanguageModel:
+    got = sample_texts(docs, id_col, text_col, lang_col, per_language, sample_bytes)
+    return LanguageModel(list(got), [grow(x, order) for x in got.values()])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +205,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             data, offsets = tb.column_bytes(b.column(1))
             for i, j in tb.blocks(offsets):
                 texts = b.column(1).slice(i, j - i).to_pylist()
-                known = np.array([bool(t and LETTER.search(t)) for t in texts], bool) & bool(model.names)
+                known = np.array([has_letter(t) for t in texts], bool) & bool(model.names)
                 lang, score, best = np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.zeros(j - i)
                 if known.any():
                     bits = code_lengths(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.trees)

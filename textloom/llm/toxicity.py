@@ -7,22 +7,26 @@ inside an exception phrase do not count. The weights of all other hits are
 summed, and the sum and its share of the text's length go through a logistic
 curve.
 
-The lexicon, the exceptions and the curve are learned from at most
-``sample_rows`` labelled rows (those of smallest hash of the id) whose
-crc32 of the id, as text, leaves a remainder by 5 that is not 0. The curve is
-fitted on sums from lexicons that have not seen the row (two folds); the last
-lexicon is learned from both.
+The lexicon, the exceptions and the curve are learned from a bounded sample of
+labelled rows whose crc32 of the id, as text, leaves a remainder by 5 that is
+not 0: the ``sample_rows`` ids of smallest hash, as far as ``sample_bytes``
+bytes of texts go. Of these ``most_terms`` terms at most come into the lexicon
+(``Learning`` holds this and the other settings). The curve is fitted on sums
+from lexicons that have not seen the row (two folds); the last lexicon is
+learned from both.
 
 Edge cases: null counts as empty; an empty text has the score that the curve
 gives to no hits, which is under 0.5. Without labelled rows of both kinds the
 lexicon is empty and every score is 0. Labels that are null are skipped; of
-several labels of one id the largest counts. Repeated rows get a row each.
+several labels of one id the largest counts, of several texts the one of
+smallest SHA-256 is learned from. Repeated rows get a row each.
 Only the named columns are read, so other columns cannot clash. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
@@ -42,8 +46,8 @@ LOOKALIKES = {
 }
 #: Digits and signs written for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
-#: Phrases in which a term is no insult, wherever the lexicon holds the term.
-EXCEPTIONS = ("class clown", "clown fish", "pond scum", "trash can", "trash bin", "sore loser")
+#: Phrases in which a common insult is none. They hold wherever the lexicon has the term; others are learned.
+EXCEPTIONS = ("bastard sword", "damn good", "dumb terminal", "dumb waiter", "garbage collection", "garbage collector", "jerk chicken", "killer app", "pig iron", "rat race", "sucker punch", "ugly duckling", "weasel words", "wild ass")
 
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: str(i) for i in range(10)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
@@ -117,44 +121,63 @@ def curve_at(curve, a: float, b: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) if curve[1] or curve[2] else 0.0
 
 
-def _terms(folded: str) -> set[str]:
+@dataclass(frozen=True)
+class Learning:
+    """How terms are chosen. most_terms: terms of the lexicon at most. least: toxic texts that a term must be in. odds: the log of how much
+    more frequent it must be in toxic texts than in clean ones. chance: a bound on the chi-square of its count against the one that the label
+    leaves to chance. gain: toxic texts that a term must add to those that heavier terms cover already. beginnings: how long beginnings of words are."""
+
+    most_terms: int = 400
+    least: int = 3
+    odds: float = 2.0
+    chance: float = 10.0
+    gain: int = 2
+    beginnings: tuple[int, int] = (4, 10)
+
+
+def _beginnings(word: str, how: Learning) -> list[str]:
+    return [" " + word[:k] for k in range(how.beginnings[0], min(len(word), how.beginnings[1] + 1))]
+
+
+def _terms(folded: str, how: Learning) -> set[str]:
     """Words and beginnings of words of a text."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 40:
-            out.add(f" {w} ")
-        out.update(" " + w[:k] for k in range(4, min(len(w), 11)))
+        out.add(f" {w} ")
+        out.update(_beginnings(w, how))
     return out
 
 
-def learn_terms(toxic: list[str], clean: list[str], most: int = 400, least: int = 2, odds: float = 2.0) -> tuple[dict[str, float], list[str]]:
+def learn_terms(toxic: list[str], clean: list[str], how: Learning = Learning()) -> tuple[dict[str, float], list[str]]:
     """Terms by greedy cover: each next one is in the most toxic texts that have none yet; and learned exceptions."""
     if not toxic or not clean:
         return {}, []
     where: dict[str, int] = {}
     for i, t in enumerate(toxic):
-        for x in _terms(t):
+        for x in _terms(t, how):
             where[x] = where.get(x, 0) | 1 << i
-    where = {x: m for x, m in where.items() if m.bit_count() > least}
+    where = {x: m for x, m in where.items() if m.bit_count() >= how.least}
     other: Counter = Counter()
     for t in clean:
-        other.update(x for x in _terms(t) if x in where)
+        other.update(x for x in _terms(t, how) if x in where)
     nt, nn = len(toxic) + 1, len(clean) + 1
     weight = {x: math.log((m.bit_count() + 0.5) / nt) - math.log((other[x] + 0.5) / nn) for x, m in where.items()}
-    # A term must be far more common in toxic texts than chance explains.
-    good = sorted((x for x, w in weight.items() if w >= odds and (where[x].bit_count() - (e := (where[x].bit_count() + other[x]) * nt / (nt + nn))) ** 2 / e >= 10), key=lambda x: (-where[x].bit_count() * weight[x], len(x), x))
+
+    def beyond_chance(x: str) -> bool:
+        expected = (where[x].bit_count() + other[x]) * nt / (nt + nn)
+        return (where[x].bit_count() - expected) ** 2 / expected >= how.chance
+
+    good = sorted((x for x, w in weight.items() if w >= how.odds and beyond_chance(x)), key=lambda x: (-where[x].bit_count() * weight[x], len(x), x))
     out, left = {}, (1 << len(toxic)) - 1
     # Gains only fall, so a term whose gain was already too small need not be looked at again.
-    import heapq
-
     heap = [(-where[x].bit_count() * weight[x], k, x) for k, x in enumerate(good)]
     heapq.heapify(heap)
-    while heap and len(out) < most:
+    while heap and len(out) < how.most_terms:
         old, k, x = heapq.heappop(heap)
         gain = (where[x] & left).bit_count()
-        new = -gain * weight[x]
-        if gain < 1 or gain < 2 and len(toxic) > 40:
+        if gain < how.gain:
             continue
+        new = -gain * weight[x]
         if new > old + 1e-9:
             heapq.heappush(heap, (new, k, x))
             continue
@@ -162,20 +185,20 @@ def learn_terms(toxic: list[str], clean: list[str], most: int = 400, least: int
         left &= ~where[x]
     # Terms as good as those taken that merely cover the same texts come in too, unless a taken term is part of them.
     for x in good:
-        if len(out) >= most:
+        if len(out) >= how.most_terms:
             break
         if x not in out and weight[x] >= 3 and not any(x.startswith(y) or (y.startswith(x.rstrip()) and weight[y] >= weight[x] - 0.7) for y in out):
             out[x] = weight[x]
-    return out, learn_exceptions(out, toxic, clean)
+    return out, learn_exceptions(out, toxic, clean, how)
 
 
-def learn_exceptions(terms: dict[str, float], toxic: list[str], clean: list[str], least: int = 3) -> list[str]:
+def learn_exceptions(terms: dict[str, float], toxic: list[str], clean: list[str], how: Learning = Learning()) -> list[str]:
     """The fixed phrases, and pairs of neighbouring words with a term that stand in several clean texts and no toxic one."""
     known: dict[str, bool] = {}
 
     def is_term(w: str) -> bool:
         if w not in known:
-            known[w] = f" {w} " in terms or any(" " + w[:k] in terms for k in range(4, min(len(w), 11)))
+            known[w] = f" {w} " in terms or any(x in terms for x in _beginnings(w, how))
         return known[w]
 
     def pairs(t: str) -> set[str]:
@@ -184,7 +207,7 @@ def learn_exceptions(terms: dict[str, float], toxic: list[str], clean: list[str]
 
     bad = set().union(*map(pairs, toxic))
     seen = Counter(p for t in clean for p in pairs(t))
-    return [fold(x) for x in EXCEPTIONS] + sorted(p for p, n in seen.items() if n >= least and p not in bad)
+    return [fold(x) for x in EXCEPTIONS] + sorted(p for p, n in seen.items() if n >= how.least and p not in bad)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
@@ -198,7 +221,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(w[0]), float(w[1]), float(w[2])
 
 
-def fit(rows: list[tuple[str, int]]) -> Lexicon:
+def fit(rows: list[tuple[str, int]], how: Learning = Learning()) -> Lexicon:
     """The lexicon for (text, label) rows."""
     # Copies of one text would make its rare words look like terms.
     rows = list(dict.fromkeys((fold(t), int(y)) for t, y in rows))
@@ -207,22 +230,24 @@ def fit(rows: list[tuple[str, int]]) -> Lexicon:
     xs, ys = [], []
     for own in range(2):
         rest = [r for k, r in enumerate(rows) if k % 2 != own]
-        m = Matcher(Lexicon(*learn_terms([t for t, y in rest if y], [t for t, y in rest if not y])))
+        m = Matcher(Lexicon(*learn_terms([t for t, y in rest if y], [t for t, y in rest if not y], how)))
         for t, y in rows[own::2]:
             xs.append(inputs(m.sums(t)[0], t))
             ys.append(y)
-    terms, exceptions = learn_terms([t for t, y in rows if y], [t for t, y in rows if not y])
+    terms, exceptions = learn_terms([t for t, y in rows if y], [t for t, y in rows if not y], how)
     return Lexicon(terms, exceptions, fit_curve(np.array(xs), np.array(ys)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000) -> Lexicon:
-    """Learns from at most sample_rows rows; the sample, of that proven bound, is broadcast to find their texts."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, sample_bytes: int = 64_000_000, how: Learning = Learning()) -> Lexicon:
+    """Learns from at most sample_rows rows and sample_bytes bytes; the sample's ids, of that proven bound, are broadcast to find their texts, which are one an id before they are sent."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & (F.crc32(F.col("id").cast("string")) % 5 != 0))
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(own), "id").select(F.xxhash64("id").alias("h"), "id", "text", "y").collect()
-    # Rows that repeat an id could break the bound, so it is held here as well.
-    return fit([(r.text, r.y) for r in sorted(got, key=lambda r: (r.h, r.id, r.text))[:sample_rows]])
+    got = texts.join(F.broadcast(own), "id").groupBy("id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"), F.max("y").alias("y"))
+    got = got.withColumn("h", F.xxhash64("id")).withColumn("size", F.octet_length("text"))
+    # Over sample_rows rows at most; texts stay out of it.
+    kept = got.select("id", F.sum("size").over(Window.orderBy("h", "id")).alias("so_far")).where(F.col("so_far") <= sample_bytes).select(F.col("id").alias("k"))
+    return fit([(r.text, r.y) for r in got.join(F.broadcast(kept), F.col("id") == F.col("k")).orderBy("h", "id").select("text", "y").collect()], how)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
