@@ -1,9 +1,12 @@
 """Scores, scans, rewriting, reports."""
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import rectify, report, scan, score
+from textloom.operators import fingerprint, library, rectify, report, scan, score
+from textloom.session import Settings
 
 AI = "Furthermore, we delve into a multifaceted tapestry of ideas. Moreover, the holistic paradigm is pivotal for synergy. It is important to note that this framework is comprehensive."
 HUMAN = "Honestly I kinda love this stuff, lol. It was weird tbh, like super weird and we just laughed a lot about it. Yeah, gonna do it again."
@@ -78,6 +81,77 @@ def test_reports(spark):
     assert rows[1].t == [report.TIP_LENGTHS, report.TIP_ALWAYS]
 
 
+CLASH = ["_row", "_clean", "_tk", "_id", "_raw", "_p", "_ps", "_k", "_key", "analysis", "ai_score", "x", "p", "premium", "doc_id2", "metrics", "paragraph_id", "sentences", "id", "t"]
+
+
+def odd(spark):
+    """Repeated and null ids, null, blank and long texts, and columns of names that operators use."""
+    rows = [(1, AI), (1, AI), (1, HUMAN), (None, AI), (None, None), (2, ""), (3, " \n "), (4, ("word and more. " * 3000) + "\n\n" + AI)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in CLASH})
+
+
+@pytest.mark.parametrize("f", [scan.document_scan, rectify.rectify, report.detect, report.scan_full, lambda d: report.detect(d, premium=True), lambda d: report.scan_full(d, premium=True), score.analysis], ids=["scan", "rectify", "detect", "full", "detect premium", "full premium", "analysis"])
+def test_a_row_for_each_row(spark, f):
+    d = odd(spark)
+    got = f(d).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in d.select("doc_id").collect())
+    # Repeated rows have the same results, and other texts of the same id their own.
+    assert len({str(r) for r in got if r.doc_id == 1}) == 2
+    assert f(d.limit(0)).collect() == []
+
+
+def test_sentences_and_paragraphs_of_repeated_ids(spark):
+    d = odd(spark)
+    assert scan.heatmap(d).where("doc_id = 1").count() == 2 * 3 + 3
+    assert scan.paragraph_rollup(d).where("doc_id = 1").count() == 3 and scan.paragraph_rollup(d.limit(0)).count() == scan.heatmap(d.limit(0)).count() == 0
+    twice = scan.document_scan(d).where("doc_id = 1").collect()
+    assert all(r.total_paragraphs == 1 and r.total_sentences == 3 for r in twice)
+    assert score.sentence_scores(d).columns == [*[c for c in d.columns if c not in score.POINTS], *score.POINTS]
+    e = spark.createDataFrame([("clash", True)], "user_id string, premium boolean")
+    g = report.with_entitlement(d.withColumn("user_id", F.lit("clash")), e)
+    assert g.where("premium").count() == d.count() and g.columns.count("premium") == 1
+
+
+def test_full_scan_has_all_parts(spark):
+    quoted = "the quick brown fox jumps over the lazy dog while the sun sets in the west"
+    refs = library.index(spark.createDataFrame([("ref", quoted + ". A second sentence of it.")], "doc_id string, text string"))
+    d = spark.createDataFrame([(1, AI + "\n\n" + quoted + "."), (2, "Short."), (3, "nothing that anybody else has ever written down anywhere on any page of any book at all")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in report.scan_full(d, refs, premium=True).collect()}
+    r = rows[1]
+    assert [p.paragraph_id for p in r.paragraph_analysis] == [0, 1] and r.paragraph_analysis[0].verdict == "HIGH RISK" and len(r.sentence_heatmap) == 4
+    assert r.sentence_heatmap[3].sentence_id == "p1_s0" and r.sentence_heatmap[3].char_start == len(AI) + 2
+    assert r.reasons == r.holistic_analysis.reasons and r.reasons[0].startswith("AI academic")
+    assert set(r.exact_matches) == {"ref"} and r.exact_matches["ref"].similarity > 0.2 and len(r.exact_matches["ref"].matched_positions) <= 10
+    assert r.semantic_matches[0].matched_text == quoted + "." and r.semantic_matches[0].similarity == 1
+    assert r.rectified_text and r.rectification_details.score_reduction > 0 and r.is_premium
+    assert (rows[2].verdict, rows[2].paragraph_analysis, rows[2].sentence_heatmap, rows[2].reasons, rows[2].flagged_ratio) == ("TOO SHORT", [], [], [scan.SHORT_REASON], 0.0)
+    assert rows[3].exact_matches == {} and rows[3].semantic_matches == []
+    gated = report.scan_full(d, library.References(refs.postings.limit(0), refs.chunks)).collect()
+    assert all(x.exact_matches is None and x.semantic_matches is None for x in gated)
+
+
+def test_settings_change_the_scan(spark):
+    text = "one two three four five six. alpha beta gamma delta"
+    refs = lambda s: library.index(spark.createDataFrame([("r", text)], "doc_id string, text string"), settings=s)
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    small = Settings(winnow_k=2, winnow_w=2)
+    spark.conf.set("textloom.winnow_k", "2")
+    spark.conf.set("textloom.winnow_w", "2")
+    try:
+        assert Settings.of(spark) == small
+        got = report.scan_full(d, refs(small)).first().exact_matches["r"]
+    finally:
+        spark.conf.unset("textloom.winnow_k")
+        spark.conf.unset("textloom.winnow_w")
+    assert got.total_query_fingerprints == fingerprint.fingerprints(d, k=2, w=2).select("hash").distinct().count()
+
+
+def test_metrics_round_as_python(spark):
+    text = " ".join(" ".join(["word"] * n) + "." for n in (2, 3, 3, 40, 7, 5))
+    m = analyse(spark, text).metrics
+    assert m.sentence_stddev == round(statistics.stdev([2, 3, 3, 40, 7, 5]), 2) and m.burstiness_cv == round(statistics.stdev([2, 3, 3, 40, 7, 5]) / statistics.mean([2, 3, 3, 40, 7, 5]), 4)
+
+
 def test_gate(spark):
     docs = spark.createDataFrame([(1, AI)], "doc_id int, text string")
     assert "rectified_text" not in report.detect(docs).columns

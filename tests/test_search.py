@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import fingerprint, vectors
+from textloom.operators import fingerprint, library, vectors
 from textloom.sources import requests
 from textloom.streaming import index
 
@@ -77,6 +77,51 @@ def test_registered_searches_take_any_number_of_queries(spark, tmp_path, monkeyp
     assert vectors.knn_all(d.where("vec_id < 0"), d).count() == 0
 
 
+def test_library_grows_and_answers(spark, tmp_path):
+    passages = ["Alpha beta gamma delta runs. Nothing here is like the rest of it.", "Some other words stand in this one!", "", None]
+    docs = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(passages)], "ref string, body string")
+    library.append(library.index(docs, "ref", "body"), str(tmp_path))
+    library.append(library.index(docs.where("ref = 'r0'"), "ref", "body"), str(tmp_path))
+    kept = library.stored(spark, str(tmp_path))
+    # Postings count once, vectors of a document that comes again are there twice.
+    assert kept.postings.count() == library.index(docs, "ref", "body").postings.count() and kept.chunks.count() == 5
+    q = spark.createDataFrame([(1, "Alpha beta gamma delta runs. Unheard of things happen now."), (2, None)], "doc_id long, text string")
+    rows = library.semantic_query(q, kept.chunks, threshold=0.99).collect()
+    assert [(r.query_id, r.query_pos, r.matched_doc, r.matched_text, r.rank) for r in rows if r.rank == 1] == [(1, 0, "r0", "Alpha beta gamma delta runs.", 1)]
+
+
+def test_semantic_query_against_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    text = lambda: ". ".join(" ".join(r.choice(["red", "blue", "green", "dog", "cat", "sky"]) for _ in range(r.randint(3, 7))) for _ in range(4)) + "."
+    docs, refs = [(i, text()) for i in range(12)], [(i, text()) for i in range(15)]
+    ix = library.chunk_vectors(spark.createDataFrame(refs, "doc_id long, text string"))
+    got = library.semantic_query(spark.createDataFrame(docs, "doc_id long, text string"), ix, threshold=0.5).collect()
+    cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", t.strip()) if len(s.split()) >= 4]
+    entries = sorted((f"{i}#{k:09d}", str(i), c) for i, t in refs for k, c in enumerate(cut(t)))
+    m = vectors.unit(vectors.hashed_encoder([c for _, _, c in entries]))
+    want = set()
+    for i, t in docs:
+        for k, c in enumerate(cut(t)):
+            s = np.cumsum(vectors.unit(vectors.hashed_encoder([c])) * m, axis=1)[:, -1]
+            best = sorted(range(len(m)), key=lambda j: (-s[j], entries[j][0]))[:3]
+            want |= {(i, k, c, entries[j][1], entries[j][2], n + 1) for n, j in enumerate(best) if s[j] >= 0.5}
+    assert {(r.query_id, r.query_pos, r.query_chunk, r.matched_doc, r.matched_text, r.rank) for r in got} == want and want
+
+
+def test_repeated_and_null_ids_and_empty_tables(spark):
+    text = "the quick brown fox jumps over the lazy dog while the sun sets in the west"
+    d = spark.createDataFrame([(1, text), (1, text), (1, None), (None, text), (None, "")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "pos", "tk", "h", "i", "query_id", "total")})
+    ix = fingerprint.build_index(d)
+    assert {r.doc_id for r in ix.collect()} == {1, None} and ix.count() == len({tuple(r) for r in ix.collect()})
+    m = fingerprint.lookup(d, ix).collect()
+    assert {(r.query_id, r.doc_id) for r in m} == {(a, b) for a in (1, None) for b in (1, None)} and all(r.similarity == 1 for r in m)
+    assert fingerprint.lookup(d.limit(0), ix).count() == fingerprint.lookup(d, ix.limit(0)).count() == fingerprint.fingerprints(d.limit(0)).count() == 0
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None)], "vec_id long, embedding array<double>")
+    assert vectors.knn(v, v).count() > 0 and vectors.knn(v.limit(0), v).count() == vectors.knn(v, v.limit(0)).count() == 0
+
+
 def test_text_precedence(spark):
     rows = [
         ('{"text":"a"}', "b", "c", "d", "a"), ('{"text":""}', "b", "c", "d", "b"), (None, None, '{"text":"r"}', "d", "r"), (None, "", '"js"', "d", "js"), (None, None, "plain", "d", "plain"),
@@ -91,8 +136,9 @@ def test_stream_grows_the_index(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     index.grow_index(stream, str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination()
-    got = {tuple(r) for r in index.read_index(spark, str(tmp_path / "ix")).collect()}
-    assert got == {tuple(r) for r in fingerprint.build_index(docs).select("hash", "doc_id", "pos").collect()}
-    q = index.match_stream(stream, index.read_index(spark, str(tmp_path / "ix"))).writeStream.format("memory").queryName("m").trigger(availableNow=True).start()
+    both, want = index.read_index(spark, str(tmp_path / "ix")), library.index(docs)
+    assert {tuple(r) for r in both.postings.collect()} == {tuple(r) for r in want.postings.collect()}
+    assert sorted(both.chunks.collect()) == sorted(want.chunks.collect())
+    q = index.match_stream(stream, both.postings).writeStream.format("memory").queryName("m").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("m").where("query_id = doc_id").count() >= 4

@@ -1,6 +1,7 @@
 """Normaliser and chunker."""
 
 import html
+import random
 import re
 import unicodedata
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import fixed
+from textloom.functions.text import clean_tokens, fixed, tokens
 from textloom.operators import chunk
 from textloom.operators.normalize import normalize
 
@@ -75,6 +76,24 @@ def test_quotes_and_fragments(spark):
     assert sentences(spark, 'He said "Go now." Then left! Stop. It was done.') == ['He said "Go now.', '" Then left!', "It was done."]
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u3000", "\u2009", "\x0b", "\x1f"])
+def test_all_white_space_ends_sentences(spark, blank):
+    text = f"One two three.{blank}Four five six. Seven eight."
+    want = ["One two three.", "Four five six.", "Seven eight."]
+    assert sentences(spark, text) == want and one(spark, text, chunk.detector_sentences) == want
+    assert one(spark, f"One two three four.{blank}Five six seven eight.", chunk.semantic_chunks) == ["One two three four.", "Five six seven eight."]
+    assert [p.text for p in one(spark, f"A b.\n{blank}\nC d.", chunk.paragraphs)] == ["A b.", "C d."]
+
+
+def test_clean_texts_split_like_any(spark):
+    r = random.Random(3)
+    raw = ["".join(r.choice(["ab", "Cd", "é", "İ", "x.Y ", ". ", "! ", "\n", "_", "-", "'", '"', "? ", " ", "ß", "1"]) for _ in range(r.randint(0, 80))) for _ in range(200)]
+    d = spark.createDataFrame([(i, plain_normalize(t)) for i, t in enumerate(raw)], "i int, t string")
+    c = F.col("t")
+    rows = d.select((chunk.clean_sentences(c) == chunk.detector_sentences(c)).alias("s"), (clean_tokens(c) == tokens(c)).alias("k")).collect()
+    assert all(x.s and x.k for x in rows)
+
+
 def test_camel_case(spark):
     assert one(spark, "An oldWord stands here.", chunk.detector_sentences) == ["An old.", "Word stands here."]
 
@@ -92,6 +111,6 @@ def test_reassemble(spark):
 
 
 def test_fixed_rounds_as_python(spark):
-    xs = [0.715, 0.125, 0.375, 0.285, 0.145, 0.155, 0.5, 1.005, 2.675, 0.3333, 0.0]
+    xs = [8.125, 9.995, 12.345, 123.455, 1000.005, 4095.625, 99.995, 17.0, 0.715, 0.125, 0.375, 0.285, 0.145, 0.155, 0.5, 1.005, 2.675, 0.3333, 0.0]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i")
     assert [r.y for r in d.select(fixed(F.col("x"), 2).alias("y")).collect()] == [f"{x:.2f}" for x in xs]

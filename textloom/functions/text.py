@@ -32,6 +32,11 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(c), BETWEEN_WORDS), "")
 
 
+def clean_tokens(c: Column) -> Column:
+    """tokens of a normalised text, in which few signs are left; the dot above is what lower case leaves of a dotted I."""
+    return F.array_remove(F.split(F.lower(c), r"[ \n.,;:!?\-'\"\u0307]+"), "")
+
+
 def words(c: Column) -> Column:
     """Pieces between white space."""
     return F.array_remove(F.split(c, rf"{SPACE}+"), "")
@@ -46,12 +51,6 @@ def capitalize(c: Column) -> Column:
     return let(c, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 2**31 - 1))))
 
 
-def fold_replace(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """Literal replacements one after the other, as one fold over a small constant array."""
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
-    return F.aggregate(table, c, lambda acc, r: F.replace(acc, r["a"], r["b"]))
-
-
 def preview(c: Column, n: int) -> Column:
     return let(c, lambda x: F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("..."))).otherwise(x))
 
@@ -62,17 +61,19 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number under 8 with so many decimals, as a string, rounded as Python does: by its exact binary value, half to even.
+    """A number of 0 or more with so many decimals, one at least, as a string, rounded as Python does: by its exact binary value, half to even.
 
     Java rounds the shortest decimal form, which differs where that form ends in a 5 just past the last digit.
-    There x * 2^60 is an exact integer and tells on which side of the half x lies.
+    There the fraction times 2^60 is an exact integer and tells on which side of the half the number lies.
     """
 
     def on_edge(v: Column) -> Column:
-        edge = F.replace(v.cast("string"), F.lit("."), F.lit("")).cast("decimal(20,0)")
-        exact = (v * F.lit(2.0**60)).cast("long").cast("decimal(20,0)") * F.lit(10 ** (digits + 1)).cast("decimal(12,0)")
-        half = edge * F.lit(2**60).cast("decimal(18,0)" if 2**60 < 10**18 else "decimal(19,0)")
-        low = F.floor(edge / 10)
+        whole = F.floor(v)
+        shown = F.replace(v.cast("string"), F.lit("."), F.lit("")).cast("decimal(20,0)")
+        edge = (shown - whole * F.lit(10 ** (digits + 1))).cast("decimal(12,0)")
+        exact = ((v - whole) * F.lit(2.0**60)).cast("long").cast("decimal(20,0)") * F.lit(10 ** (digits + 1)).cast("decimal(12,0)")
+        half = edge * F.lit(2**60).cast("decimal(19,0)")
+        low = F.floor(shown / 10)
         up = (exact > half) | ((exact == half) & (low % 2 == 1))
         return F.format_string(f"%.{digits}f", (low + F.when(up, 1).otherwise(0)).cast("double") / 10.0**digits)
 

@@ -1,16 +1,19 @@
 """Splitting documents into paragraphs and sentences, with offsets.
 
-Every split is an expression on the document's own row: nothing is shuffled.
-Null and blank texts have no paragraphs.
+Every split is an expression on the document's own row: nothing is shuffled,
+and rows that repeat an id stay apart. White space is what Python takes for
+it, no-break spaces included. Null and blank texts have no paragraphs. Columns
+that are not named are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import NOT_BEFORE, strip, word_count
+from textloom.functions.text import NOT_BEFORE, SPACE, strip, word_count
 
 _DOT = "§DOT§"
 _TWO = [a[:-1].split(".") for a in lexicon.ABBREVIATIONS if a.count(".") == 2]
@@ -20,12 +23,18 @@ _ONE = "|".join(a[:-1] for a in lexicon.ABBREVIATIONS if a.count(".") == 1)
 def detector_sentences(c: Column) -> Column:
     """Sentences as the scorer sees them: two words at least; a lower letter before an upper one ends a sentence."""
     c = strip(F.regexp_replace(c, "([a-z])([A-Z])", "$1. $2"))
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: word_count(s) >= 2)
+    return F.filter(F.transform(F.split(c, rf"(?<=[.!?]){SPACE}+"), strip), lambda s: word_count(s) >= 2)
+
+
+def clean_sentences(c: Column) -> Column:
+    """detector_sentences of a normalised text: it is stripped and its only white space are blanks and line breaks."""
+    c = F.regexp_replace(c, "([a-z])([A-Z])", "$1. $2")
+    return F.filter(F.split(c, r"(?<=[.!?])[ \n]+"), lambda s: F.rlike(s, F.lit(r"[ \n]")))
 
 
 def semantic_chunks(c: Column, spaces_only: bool = False) -> Column:
     """Sentences of four words at least. spaces_only: a line break ends no sentence."""
-    parts = F.split(strip(c), r"(?<=[.!?]) +" if spaces_only else r"(?<=[.!?])\s+")
+    parts = F.split(strip(F.coalesce(c, F.lit(""))), r"(?<=[.!?]) +" if spaces_only else rf"(?<=[.!?]){SPACE}+")
     return F.filter(F.transform(parts, strip), lambda s: word_count(s) >= 4)
 
 
@@ -35,13 +44,13 @@ def chunk_sentences(c: Column, least: int = 2) -> Column:
     for a, b in _TWO:
         c = F.regexp_replace(c, rf"(?i){NOT_BEFORE}({a})\.({b})\.", f"$1{_DOT}$2{_DOT}")
     c = F.regexp_replace(c, rf"(?i){NOT_BEFORE}({_ONE})\.", f"$1{_DOT}")
-    parts = F.split(c, r"(?<=[.!?])(?=[\s\x22']+|$)")
+    parts = F.split(c, rf"(?<=[.!?])(?={SPACE}|[\x22']|$)")
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: word_count(s) >= least)
 
 
 def paragraphs(c: Column) -> Column:
     """Array of (paragraph_id, text): stripped, blank ones left out but counted in the ids."""
-    parts = F.split(strip(F.coalesce(c, F.lit(""))), r"\n\s*\n")
+    parts = F.split(strip(F.coalesce(c, F.lit(""))), rf"\n{SPACE}*\n")
     return F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("paragraph_id"), strip(p).alias("text"))), lambda x: x["text"] != "")
 
 
@@ -58,41 +67,52 @@ def paragraph_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per sentence: id, paragraph_id, index_in_para, sentence_id, text, word_count."""
     s = paragraph_rows(docs, id_col, text_col).select(id_col, "paragraph_id", F.posexplode("sentences").alias("index_in_para", "text"))
-    return s.select(id_col, "paragraph_id", "index_in_para", F.format_string("p%d_s%d", "paragraph_id", "index_in_para").alias("sentence_id"), "text", word_count(F.col("text")).alias("word_count"))
+    return s.select(id_col, "paragraph_id", "index_in_para", sentence_id(F.col("paragraph_id"), F.col("index_in_para")).alias("sentence_id"), "text", word_count(F.col("text")).alias("word_count"))
+
+
+def parsed(c: Column) -> Column:
+    """Array of (paragraph_id, text, sentences)."""
+    return F.transform(paragraphs(c), lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), p["text"].alias("text"), chunk_sentences(p["text"]).alias("sentences")))
 
 
-def offsets(text: Column, sentences: Column) -> Column:
-    """Array of (char_start, char_end): each sentence is looked for after the end of the one before, and put there if it is not found.
+def offsets(text: Column, nested: Column) -> Column:
+    """For sentences by paragraph, (char_start, char_end): each is looked for after the end of the one before, and put there if it is not found.
 
     The search is sequential over the whole text, so it is an Arrow UDF: one linear scan a document.
     """
 
-    @F.pandas_udf("array<struct<char_start:int,char_end:int>>")
-    def run(texts, lists):
-        import pandas as pd
-
+    @F.arrow_udf("array<array<struct<char_start:int,char_end:int>>>")
+    def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
         out = []
-        for t, ss in zip(texts, lists, strict=True):
+        for t, row in zip(texts.to_pylist(), rows.to_pylist(), strict=True):
             at, found = 0, []
-            for s in ss if ss is not None else ():
-                start = (t or "").find(s, at)
-                start = at if start < 0 else start
-                at = start + len(s)
-                found.append({"char_start": start, "char_end": at})
+            for part in row or ():
+                found.append([])
+                for s in part:
+                    start = (t or "").find(s, at)
+                    start = at if start < 0 else start
+                    at = start + len(s)
+                    found[-1].append({"char_start": start, "char_end": at})
             out.append(found)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32())]))))
+
+    return run(text, nested)
+
 
-    return run(text, sentences)
+def sentence_id(paragraph_id: Column, index: Column) -> Column:
+    return F.format_string("p%d_s%d", paragraph_id, index)
 
 
 def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per sentence with char_start and char_end in the raw text; the search runs on from paragraph to paragraph."""
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_t"), F.transform(paragraphs(F.col(text_col)), lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), chunk_sentences(p["text"]).alias("sentences"))).alias("_p"))
-    flat = F.flatten(F.transform("_p", lambda p: F.transform(p["sentences"], lambda s, i: F.struct(p["paragraph_id"].alias("paragraph_id"), i.alias("index_in_para"), s.alias("text")))))
-    d = d.select(id_col, "_t", flat.alias("_s"))
-    d = d.select(id_col, "_s", offsets(F.col("_t"), F.transform("_s", lambda x: x["text"])).alias("_o"))
-    d = d.select(id_col, F.explode(F.arrays_zip("_s", "_o")).alias("x"))
-    return d.select(id_col, "x._s.paragraph_id", "x._s.index_in_para", F.format_string("p%d_s%d", "x._s.paragraph_id", "x._s.index_in_para").alias("sentence_id"), "x._s.text", word_count(F.col("x._s.text")).alias("word_count"), "x._o.char_start", "x._o.char_end")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), parsed(F.col(text_col)).alias("p"))
+    d = d.select("id", "p", offsets(F.col("t"), F.transform("p", lambda p: p["sentences"])).alias("o"))
+    d = d.select("id", F.explode(F.arrays_zip("p", "o")).alias("x"))
+    d = d.select("id", "x.p.paragraph_id", F.posexplode(F.arrays_zip(F.col("x.p.sentences").alias("s"), F.col("x.o").alias("o"))).alias("i", "x"))
+    return d.select(
+        F.col("id").alias(id_col), "paragraph_id", F.col("i").alias("index_in_para"), sentence_id(F.col("paragraph_id"), F.col("i")).alias("sentence_id"),
+        F.col("x.s").alias("text"), word_count(F.col("x.s")).alias("word_count"), "x.o.char_start", "x.o.char_end",
+    )
 
 
 def reassemble(nested: Column) -> Column:

@@ -1,53 +1,96 @@
 """Text normalisation: an ordered chain of rewrites.
 
-All steps but one are native. HTML entities have no built-in, so texts with an
-ampersand, and only their column, go through an Arrow UDF; with
-``entities=False`` the step is left out and the plan has no Python.
+Most steps are about letters and signs of all scripts, and the first, HTML
+entities, has no built-in. Measured on 26 MB, a dozen passes of Spark's regular
+expressions take 17 CPU seconds and one pass of Arrow batches through Python's
+5, so texts go through Python once, and what is made of them is native.
 Null gives the empty string.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import re
+import sys
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import fold_replace, let, strip
 
-#: Guards: ranges that hold all signs of the maps (and more). ASCII is ruled out first; a class of single signs would be tried one by one.
-_SIGNS = r"[[^ -~\n]&&[\xAC\xB1\xD7\xF7\u0391-\u03C9\u2190-\u22FF]]"
-_TYPOGRAPHY = r"[[^ -~\n]&&[\xA7-\xBB\u2010-\u203A\u2212]]"
+_FENCED, _INLINE = re.compile(r"```[\s\S]*?```"), re.compile(r"`([^`]+)`")
+_COMMAND, _BARE = re.compile(r"\\[a-zA-Z]+\{([^}]*)\}"), re.compile(r"\\[a-zA-Z]+")
+_BRACKETS, _OTHER = re.compile(r"[$^_{}\[\]\\]"), re.compile(r"[^\w\s.,;:!?\-'\"]")
+_GAPS, _LOOSE = re.compile(r"\t[ \t]*| [ \t]+"), re.compile(r"\s+(?=[.,;:!?])")
+_EMPTY_LINES = re.compile(r"\n{3,}")
+#: All of these are single signs and none of their words holds one, so one pass replaces them.
+_SIGNS = {ord(a): b for a, b in lexicon.TYPOGRAPHY + lexicon.MATH + lexicon.GREEK}
+
+
+@functools.cache
+def _unprintable() -> re.Pattern:
+    """Signs that are not printable, but for line breaks and tabs."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        bad = c <= sys.maxunicode and not chr(c).isprintable() and c not in (9, 10)
+        if bad and start is None:
+            start = c
+        elif not bad and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(out)}]")
+
+
+def normalized(text: str | None, entities: bool = True) -> str:
+    """One text, normalised."""
+    if not text:
+        return ""
+    if entities and "&" in text:
+        text = html.unescape(text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "`" in text:
+        text = _INLINE.sub(r"\1", _FENCED.sub(" ", text))
+    if "\\" in text:
+        text = _COMMAND.sub(r"\1", text)
+        for a, b in lexicon.LATEX:
+            text = text.replace(a, b)
+        text = _BARE.sub(" ", text)
+    text = _BRACKETS.sub(" ", text)
+    if not text.isascii():
+        text = text.translate(_SIGNS)
+    text = _OTHER.sub(" ", _unprintable().sub("", text))
+    text = _LOOSE.sub("", _GAPS.sub(" ", text))
+    return (_EMPTY_LINES.sub("\n\n", text) if "\n\n\n" in text else text).strip()
 
 
 def unescape_html(c: Column) -> Column:
     """HTML5 character references, numeric ones and those without a semicolon included."""
 
-    @F.pandas_udf("string")
-    def run(s):
-        return s.map(lambda t: html.unescape(t) if t is not None and "&" in t else t, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([html.unescape(t) if t and "&" in t else t for t in texts.to_pylist()], pa.string())
 
     return run(c)
 
 
-def normalize_native(c: Column) -> Column:
-    """All steps after the first, on text whose entities are resolved."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    code = lambda x: F.regexp_replace(F.regexp_replace(x, r"```[\s\S]*?```", " "), r"`([^`]+)`", "$1")
-    tex = lambda x: F.regexp_replace(fold_replace(F.regexp_replace(x, r"\\[a-zA-Z]+\{([^}]*)\}", "$1"), lexicon.LATEX), r"\\[a-zA-Z]+", " ")
-    c = let(c, lambda x: F.when(F.contains(x, F.lit("`")), code(x)).otherwise(x))
-    # Every LaTeX rule has a backslash in what it looks for.
-    c = let(c, lambda x: F.when(F.contains(x, F.lit("\\")), tex(x)).otherwise(x))
-    c = F.regexp_replace(c, r"[\$\^_{}\[\]\\]", " ")
-    c = let(c, lambda x: F.when(F.rlike(x, F.lit(_TYPOGRAPHY)), fold_replace(x, lexicon.TYPOGRAPHY)).otherwise(x))
-    c = let(c, lambda x: F.when(F.rlike(x, F.lit(_SIGNS)), fold_replace(x, lexicon.MATH + lexicon.GREEK)).otherwise(x))
-    c = F.regexp_replace(c, r"[[^ -~\n\t]&&[\p{C}\p{Z}]]", "")
-    c = F.regexp_replace(c, r"[^a-zA-Z0-9_\s.,;:!?\-'\"\p{L}\p{N}]", " ")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"\s+([.,;:!?])", "$1")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+def normalize(c: Column, entities: bool = True) -> Column:
+    """A column of texts, normalised. Without entities, HTML references stay as they are written."""
 
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([normalized(t, entities) for t in texts.to_pylist()], pa.string())
 
-def normalize(c: Column, entities: bool = True) -> Column:
-    return normalize_native(unescape_html(c) if entities else c)
+    return run(c)
+
+
+def normalize_nested(c: Column, entities: bool = True) -> Column:
+    """As normalize, for the texts in a column of arrays of arrays."""
+
+    @F.arrow_udf("array<array<string>>")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([[[normalized(t, entities) for t in part] for part in row or ()] for row in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return run(c)

@@ -1,8 +1,12 @@
 """Features and scores of passages and sentences.
 
 Everything about a passage is computed on its own row with array expressions,
-so scoring a corpus needs no shuffle. Sums of marker weights are sums of
-integers (tenths), so they do not depend on an order.
+so scoring a corpus needs no shuffle and rows that repeat an id stay apart.
+Sums of marker weights are sums of integers (tenths), so they do not depend on
+an order. Null counts as the empty text, which is too short for a score. The
+caller's columns travel in one struct, so their names cannot clash with those
+that are made here; a column of the caller's that has a result's name gives
+way to the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import NOT_AFTER, NOT_BEFORE, NOT_SPACE, fixed, let, lookup, tokens, word_count
-from textloom.operators.chunk import detector_sentences
+from textloom.functions.text import NOT_AFTER, NOT_BEFORE, NOT_SPACE, clean_tokens, fixed, let, lookup
+from textloom.operators.chunk import clean_sentences
 from textloom.operators.normalize import normalize
 
-TOO_SHORT, HIGH, MIDDLE = 15, 65, 40
+TOO_SHORT, HIGH, MIDDLE, FLAGGED = 15, 65, 40, 60
+POINTS = ("ai_score", "is_flagged", "severity", "ai_markers", "robotic_phrases")
 VERDICTS = ("LIKELY AI-GENERATED", "INCONCLUSIVE / MIXED", "LIKELY HUMAN-WRITTEN")
 SHORT_REASON = "Text too short for reliable statistical evaluation (min 15 words)"
 
@@ -59,15 +64,20 @@ def verdict(score: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text", entities: bool = True) -> DataFrame:
-    """docs with the columns that scores are made of, all prefixed by an underscore."""
-    d = docs.withColumn("_clean", normalize(F.col(text_col), entities))
+    """_row, the row of docs as a struct, and the columns that scores are made of, all prefixed by an underscore."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), normalize(F.col(text_col), entities).alias("_clean"))
     return clean_features(d)
 
 
 def clean_features(d: DataFrame) -> DataFrame:
-    """As features, from a column _clean of normalised text."""
-    d = d.withColumns({"_tk": tokens(F.col("_clean")), "_sn": detector_sentences(F.col("_clean"))})
-    d = d.withColumns({"_wc": F.transform("_sn", lambda s: word_count(s).cast("long")), "_n": F.size("_tk"), "_k": F.size("_sn"), "_ai": hits(F.col("_tk"), lexicon.AI_TENTHS), "_human": hits(F.col("_tk"), lexicon.HUMAN_TENTHS), "_canned": canned_phrases(F.col("_clean"))})
+    """As features, from a column _clean of normalised text; other columns stay."""
+    keep = [c for c in d.columns if c != "_clean"]
+    d = d.select(*keep, clean_tokens(F.col("_clean")).alias("_tk"), clean_sentences(F.col("_clean")).alias("_sn"), canned_phrases(F.col("_clean")).alias("_canned"))
+    words = F.transform("_sn", lambda s: F.size(F.split(s, r"[ \n]+")).cast("long"))
+    d = d.select(
+        *keep, "_canned", words.alias("_wc"), first_mode(F.transform("_sn", opener)).alias("_mode"), F.size("_sn").alias("_k"), F.size("_tk").alias("_n"), F.size(F.array_distinct("_tk")).alias("_distinct"),
+        hits(F.col("_tk"), lexicon.AI_TENTHS).alias("_ai"), hits(F.col("_tk"), lexicon.HUMAN_TENTHS).alias("_human"),
+    )
     total = lambda f: F.aggregate("_wc", F.lit(0).cast("long"), lambda acc, x: acc + f(x))
     d = d.withColumns({"_sx": total(lambda x: x), "_sxx": total(lambda x: x * x), "_ait": tenths(F.col("_ai"), lexicon.AI_TENTHS), "_humant": tenths(F.col("_human"), lexicon.HUMAN_TENTHS)})
     k = F.col("_k").cast("double")
@@ -75,8 +85,7 @@ def clean_features(d: DataFrame) -> DataFrame:
     d = d.withColumn("_std", F.when(F.col("_k") >= 2, F.sqrt((k * F.col("_sxx") - F.col("_sx") * F.col("_sx")) / (k * (k - 1)))).otherwise(0.0))
     return d.withColumns({
         "_cv": F.when((F.col("_k") >= 2) & (F.col("_sx") > 0), F.col("_std") / (F.col("_sx") / k)).otherwise(0.0),
-        "_ttr": F.when(F.col("_n") > 0, F.size(F.array_distinct("_tk")) / F.col("_n")).otherwise(0.0),
-        "_mode": first_mode(F.transform("_sn", opener)),
+        "_ttr": F.when(F.col("_n") > 0, F.col("_distinct") / F.col("_n")).otherwise(0.0),
     })
 
 
@@ -113,38 +122,60 @@ def _markers(c: str) -> Column:
     return F.array_sort(F.array_distinct(c))
 
 
-def analysis(docs: DataFrame, text_col: str = "text", entities: bool = True) -> DataFrame:
-    """docs with the column analysis: ai_score, verdict, reasons and metrics, of one shape for all texts (null where a short text has none)."""
-    keep = docs.columns
-    d = passage_score(passage_logit(features(docs, text_col, entities)))
+def analysis_struct() -> Column:
+    """ai_score, verdict, reasons and metrics, from the columns of passage_score; of one shape for all texts (null where a short text has none)."""
     short = F.col("_n") < TOO_SHORT
+    cadence = lambda words: F.format_string(f"{words} (CV: %s)", fixed(F.col("_cv"), 2))
     reasons = F.array_compact(F.array(
         F.when(F.size("_ai") > 0, F.concat(F.lit("AI academic/rhetorical markers detected: "), _listed(_markers("_ai")))),
         F.when(F.size("_human") > 0, F.concat(F.lit("Colloquial human phrasing detected: "), _listed(_markers("_human")))),
         F.when(F.size("_canned") > 0, F.concat(F.lit("Typical LLM canned phrases detected: "), _listed(F.col("_canned")))),
-        F.when(F.col("_uniform"), F.format_string("Uniform sentence cadence (CV: %s)", fixed(F.col("_cv"), 2))).when(F.col("_varied"), F.format_string("High human rhythm variance (CV: %s)", fixed(F.col("_cv"), 2))),
+        F.when(F.col("_uniform"), cadence("Uniform sentence cadence")).when(F.col("_varied"), cadence("High human rhythm variance")),
         F.when(F.col("_formal"), F.format_string("Controlled lexical dispersion ratio (%s)", fixed(F.col("_ttr"), 2))),
         F.when(F.col("_opens"), F.format_string("Monotonous sentence openers (%s: %d%%)", F.initcap("_mode.item"), F.floor(F.col("_mode.n") / F.col("_k") * 100))),
     ))
     shown = lambda c: F.when(~short, c)
     metrics = F.struct(
-        shown(fixed(F.col("_cv"), 4).cast("double")).alias("burstiness_cv"), shown(F.bround("_std", 2)).alias("sentence_stddev"), shown(fixed(F.col("_ttr"), 4).cast("double")).alias("type_token_ratio"), shown(_markers("_ai")).alias("ai_markers_found"),
-        shown(_markers("_human")).alias("human_markers_found"), shown(F.col("_canned")).alias("robotic_phrases_found"), F.col("_k").alias("sentence_count"), F.col("_n").alias("word_count"),
-    )
-    return d.select(*keep, F.struct(F.col("_score").alias("ai_score"), F.col("_verdict").alias("verdict"), F.when(short, F.array(F.lit(SHORT_REASON))).otherwise(reasons).alias("reasons"), metrics.alias("metrics")).alias("analysis"))
+        shown(fixed(F.col("_cv"), 4).cast("double")).alias("burstiness_cv"),
+        shown(fixed(F.col("_std"), 2).cast("double")).alias("sentence_stddev"),
+        shown(fixed(F.col("_ttr"), 4).cast("double")).alias("type_token_ratio"),
+        shown(_markers("_ai")).alias("ai_markers_found"),
+        shown(_markers("_human")).alias("human_markers_found"),
+        shown(F.col("_canned")).alias("robotic_phrases_found"),
+        F.col("_k").alias("sentence_count"),
+        F.col("_n").alias("word_count"),
+    )
+    return F.struct(F.col("_score").alias("ai_score"), F.col("_verdict").alias("verdict"), F.when(short, F.array(F.lit(SHORT_REASON))).otherwise(reasons).alias("reasons"), metrics.alias("metrics"))
+
+
+def analysis(docs: DataFrame, text_col: str = "text", entities: bool = True) -> DataFrame:
+    """docs with the column analysis: ai_score, verdict, reasons and metrics."""
+    d = passage_score(passage_logit(features(docs, text_col, entities)))
+    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != "analysis"], analysis_struct().alias("analysis"))
+
+
+def sentence_points(clean: Column) -> Column:
+    """Of a normalised sentence: (ai_score, is_flagged, severity, ai_markers, robotic_phrases)."""
+    none = F.array().cast("array<string>")
+
+    def scored(n: Column, ai: Column, human: Column, canned: Column) -> Column:
+        raw = F.lit(25) + F.least(F.size(ai) * 22, F.lit(50)) + F.size(canned) * 25 - F.least(F.size(human) * 20, F.lit(40)) + F.when((n > 28) & (F.size(human) == 0), 15).otherwise(0)
+        return F.when(n < 3, 10).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), raw))).cast("int")
+
+    def labelled(p: Column, x: Column) -> Column:
+        short = x["n"] < 3
+        severity = F.when(p >= HIGH, "high").when(p >= MIDDLE, "medium").otherwise("low")
+        markers, phrases = F.when(short, none).otherwise(F.array_sort(F.array_distinct(x["ai"]))), F.when(short, none).otherwise(x["canned"])
+        return F.struct(p.alias("ai_score"), (p >= FLAGGED).alias("is_flagged"), severity.alias("severity"), markers.alias("ai_markers"), phrases.alias("robotic_phrases"))
+
+    def found(s: Column) -> Column:
+        return let(clean_tokens(s), lambda tk: F.struct(F.size(tk).alias("n"), hits(tk, lexicon.AI_TENTHS).alias("ai"), hits(tk, lexicon.HUMAN_TENTHS).alias("human"), canned_phrases(s).alias("canned")))
+
+    return let(clean, lambda s: let(found(s), lambda x: let(scored(x["n"], x["ai"], x["human"], x["canned"]), lambda p: labelled(p, x))))
 
 
 def sentence_scores(rows: DataFrame, text_col: str = "text", entities: bool = True) -> DataFrame:
     """rows of one sentence each, with ai_score, is_flagged, severity, ai_markers and robotic_phrases."""
-    keep = rows.columns
-    d = rows.withColumn("_clean", normalize(F.col(text_col), entities))
-    d = d.withColumns({"_tk": tokens(F.col("_clean")), "_canned": canned_phrases(F.col("_clean"))})
-    d = d.withColumns({"_ai": hits(F.col("_tk"), lexicon.AI_TENTHS), "_human": hits(F.col("_tk"), lexicon.HUMAN_TENTHS)})
-    short, n = F.size("_tk") < 3, F.size("_tk")
-    raw = F.lit(25) + F.least(F.size("_ai") * 22, F.lit(50)) + F.size("_canned") * 25 - F.least(F.size("_human") * 20, F.lit(40)) + F.when((n > 28) & (F.size("_human") == 0), 15).otherwise(0)
-    d = d.withColumn("ai_score", F.when(short, 10).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), raw))).cast("int"))
-    none = F.array().cast("array<string>")
-    return d.select(
-        *keep, "ai_score", (F.col("ai_score") >= 60).alias("is_flagged"), F.when(F.col("ai_score") >= HIGH, "high").when(F.col("ai_score") >= MIDDLE, "medium").otherwise("low").alias("severity"),
-        F.when(short, none).otherwise(_markers("_ai")).alias("ai_markers"), F.when(short, none).otherwise(F.col("_canned")).alias("robotic_phrases"),
-    )
+    own = [f"`{c}`" for c in rows.columns if c not in POINTS]
+    d = rows.select(F.struct(*own).alias("_row"), normalize(F.col(text_col), entities).alias("_clean")).select("_row", sentence_points(F.col("_clean")).alias("_points"))
+    return d.select("_row.*", "_points.*")

@@ -16,12 +16,16 @@ def _replaced(x: str, rules) -> str:
     return x
 
 
+#: White space of all kinds; \s alone would be ASCII only.
+WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
 def words(x: str) -> str:
-    return rf"len(regexp_extract_all({x}, '\S+'))"
+    return rf"len(regexp_extract_all({x}, '[^{WS}]+'))"
 
 
 def norm(src: str, out: str) -> str:
@@ -40,12 +44,12 @@ def norm(src: str, out: str) -> str:
 
 def detector_sentences(x: str) -> str:
     x = strip(rf"regexp_replace({x}, '([a-z])([A-Z])', '\1. \2', 'g')")
-    return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda s: {strip('s')}), lambda s: {words('s')} >= 2)"
+    return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])[{WS}]+', '\1' || chr(30), 'g'), chr(30)), lambda s: {strip('s')}), lambda s: {words('s')} >= 2)"
 
 
 def paragraphs(x: str) -> str:
     """Paragraphs as a list of strings, blank ones included."""
-    return rf"list_transform(string_split_regex({strip(x)}, '\n\s*\n'), lambda p: {strip('p')})"
+    return rf"list_transform(string_split_regex({strip(x)}, '\n[{WS}]*\n'), lambda p: {strip('p')})"
 
 
 def chunk_sentences(x: str) -> str:
@@ -54,7 +58,7 @@ def chunk_sentences(x: str) -> str:
         x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_])((?i:{a}))\.((?i:{b}))\.', '\1\2§DOT§\3§DOT§', 'g')"
     one = "|".join(a[:-1] for a in lexicon.ABBREVIATIONS if a.count(".") == 1)
     x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_])((?i:{one}))\.', '\1\2§DOT§', 'g')"
-    x = rf"string_split(regexp_replace({x}, '([.!?])([\s\"''])', '\1' || chr(30) || '\2', 'g'), chr(30))"
+    x = rf"string_split(regexp_replace({x}, '([.!?])([{WS}\"''])', '\1' || chr(30) || '\2', 'g'), chr(30))"
     return rf"list_filter(list_transform({x}, lambda s: {strip('replace(s, ' + quoted('§DOT§') + ', ' + quoted('.') + ')')}), lambda s: {words('s')} >= 2)"
 
 
@@ -133,15 +137,16 @@ r AS (SELECT doc_id, paragraph_id, sum(word_count) AS w, count(*) AS k, sum(ai_s
 g AS (SELECT p.doc_id, p.paragraph_id::INT AS paragraph_id, coalesce(w, 0)::INT AS word_count, coalesce(k, 0)::INT AS sentence_count, coalesce(round_even(points / k::DOUBLE, 0), 0)::INT AS ai_score, text FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.paragraph_id = r.paragraph_id)
 SELECT doc_id, paragraph_id, word_count, sentence_count, ai_score, CASE WHEN ai_score >= 65 THEN 'HIGH RISK' WHEN ai_score >= 40 THEN 'MODERATE' ELSE 'CLEAN' END AS verdict, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS text_preview FROM g"""
 _HOLISTIC = FEATURES.replace("WITH " + SRC + ",\n", "").replace("src_", "x_").replace("FROM src)", "FROM whole)")
-SQL["document_scan"] = (
+DOCUMENTS = (
     SCORED + ", whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_id) AS t FROM p GROUP BY doc_id),\n" + _HOLISTIC + """,
 w AS (SELECT doc_id, sum(word_count)::INT AS total_words, count(*)::INT AS total_sentences, sum(ai_score) AS points, count(*) FILTER (WHERE ai_score >= 65)::INT AS flagged FROM e GROUP BY doc_id),
 q AS (SELECT doc_id, count(*)::INT AS total_paragraphs FROM p GROUP BY doc_id),
 d AS (SELECT src.doc_id, coalesce(total_words, 0) AS total_words, coalesce(total_paragraphs, 0) AS total_paragraphs, coalesce(total_sentences, 0) AS total_sentences, coalesce(points, 0) AS points, coalesce(flagged, 0) AS flagged, coalesce(score, 0) AS holistic FROM src LEFT JOIN w ON src.doc_id = w.doc_id LEFT JOIN q ON src.doc_id = q.doc_id LEFT JOIN s ON src.doc_id = s.doc_id),
 z AS (SELECT *, CASE WHEN total_words < 15 THEN 0.0::DOUBLE ELSE flagged / greatest(total_sentences, 1)::DOUBLE END AS ratio FROM d),
 y AS (SELECT *, CASE WHEN total_words < 15 THEN 0 ELSE greatest(0, least(100, round_even(holistic * 0.5::DOUBLE + points / greatest(total_sentences, 1)::DOUBLE * 0.3::DOUBLE + ratio * 100 * 0.2::DOUBLE, 0))) END::INT AS overall_score FROM z)
-SELECT doc_id, overall_score, CASE WHEN total_words < 15 THEN 'TOO SHORT' WHEN overall_score >= 65 THEN 'LIKELY AI-GENERATED' WHEN overall_score >= 40 THEN 'INCONCLUSIVE / MIXED' ELSE 'LIKELY HUMAN-WRITTEN' END AS verdict, total_words, total_paragraphs, total_sentences, CASE WHEN total_words < 15 THEN 0 ELSE flagged END::INT AS flagged_ai_sentence_count, ratio AS flagged_ratio FROM y"""
+"""
 )
+SQL["document_scan"] = DOCUMENTS + """SELECT doc_id, overall_score, CASE WHEN total_words < 15 THEN 'TOO SHORT' WHEN overall_score >= 65 THEN 'LIKELY AI-GENERATED' WHEN overall_score >= 40 THEN 'INCONCLUSIVE / MIXED' ELSE 'LIKELY HUMAN-WRITTEN' END AS verdict, total_words, total_paragraphs, total_sentences, CASE WHEN total_words < 15 THEN 0 ELSE flagged END::INT AS flagged_ai_sentence_count, ratio AS flagged_ratio FROM y"""
 
 
 def shingles(table: str, key: str, k: int = 5) -> str:
@@ -178,7 +183,7 @@ def semantic(by: str) -> str:
     return f"SELECT doc_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS chunk FROM (SELECT doc_id, {x} AS c FROM documents)"
 
 
-SQL["semantic_chunks"], SQL["semantic_chunks_by_space"] = semantic(r"\s+"), semantic(" +")
+SQL["semantic_chunks"], SQL["semantic_chunks_by_space"] = semantic(f"[{WS}]+"), semantic(" +")
 
 
 def contracted(x: str) -> str:
@@ -215,3 +220,29 @@ SQL["premium_gate"] = FEATURES + f"SELECT doc_id, 'u' || (doc_id % 7) AS user_id
 SQL["extract_text"] = r"SELECT conv_id, turn, text FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN 'plain: ' || replace(text, '\"', '''') ELSE coalesce(text, '') END AS text FROM conversations) WHERE regexp_replace(text, '\s', '', 'g') <> ''".replace('\\"', '"')
 SQL["json_sink"] = "SELECT '{\"doc_id\":' || doc_id || ',\"n\":' || length(text) || '}' AS json FROM documents"
 SQL["distinct_sentences"] = f"SELECT text, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({chunk_sentences('p')}) AS text FROM (SELECT doc_id, unnest({paragraphs('text')}) AS p FROM documents) WHERE p <> '') GROUP BY text HAVING count(*) > 1"
+
+_LISTS = ", ".join(f"CASE WHEN n >= 15 THEN array_to_string({x}, ',') END AS {name}" for x, name in ((_UNIQ("ai"), "ai_markers_found"), (_UNIQ("human"), "human_markers_found"), ("canned", "robotic_phrases_found")))
+SQL["detection_metrics"] = FEATURES + f"""SELECT doc_id, score AS ai_score, verdict, CASE WHEN n >= 15 THEN printf('%.4f', cv)::DOUBLE END AS burstiness_cv, CASE WHEN n >= 15 THEN printf('%.4f', ttr)::DOUBLE END AS type_token_ratio,
+k::INT AS sentence_count, n::INT AS word_count, {_LISTS} FROM s"""
+SQL["full_scan_counts"] = (
+    DOCUMENTS + ", sp AS (SELECT doc_id, t AS text FROM spaced),\n" + winnowed("sp", "doc_id") + ",\n" + winnowed("benchmark", "item_id") + f""",
+n_x AS (SELECT q.doc_id, count(DISTINCT b.doc_id) AS n FROM fp_sp q JOIN fp_benchmark b ON q.hash = b.hash GROUP BY q.doc_id),
+n_r AS (SELECT doc_id, CASE WHEN n < 15 THEN 1 ELSE len({REASONS}) END AS n FROM s)
+SELECT y.doc_id, overall_score, CASE WHEN total_words < 15 THEN 'TOO SHORT' WHEN overall_score >= 65 THEN 'LIKELY AI-GENERATED' WHEN overall_score >= 40 THEN 'INCONCLUSIVE / MIXED' ELSE 'LIKELY HUMAN-WRITTEN' END AS verdict,
+CASE WHEN total_words < 15 THEN 0 ELSE flagged END::INT AS flagged_ai_sentence_count, CASE WHEN total_words < 15 THEN 0 ELSE total_paragraphs END::INT AS n_paragraphs, CASE WHEN total_words < 15 THEN 0 ELSE total_sentences END::INT AS n_sentences,
+CASE WHEN total_words < 15 THEN 1 ELSE coalesce(n_r.n, 1) END::INT AS n_reasons, coalesce(n_x.n, 0)::INT AS n_exact FROM y LEFT JOIN n_x ON y.doc_id = n_x.doc_id LEFT JOIN n_r ON y.doc_id = n_r.doc_id"""
+)
+#: A fold over the sentences of a document carries the place at which the search goes on and the places found.
+_STEP = "lambda a, x: {'s': '', 'at': CASE WHEN instr(substr(t, a.at + 1), x.s) > 0 THEN a.at + instr(substr(t, a.at + 1), x.s) - 1 ELSE a.at END + length(x.s), 'out': list_append(a.out, CASE WHEN instr(substr(t, a.at + 1), x.s) > 0 THEN a.at + instr(substr(t, a.at + 1), x.s) - 1 ELSE a.at END)}"
+OFFSETS = SENTENCES + f""",
+g1 AS (SELECT doc_id, list({{'s': text, 'at': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY paragraph_id, index_in_para) AS items, list({{'p': paragraph_id, 'i': index_in_para}} ORDER BY paragraph_id, index_in_para) AS keys FROM c GROUP BY doc_id),
+g2 AS (SELECT spaced.doc_id, keys, list_reduce(list_prepend({{'s': '', 'at': 0::BIGINT, 'out': []::BIGINT[]}}, items), {_STEP}).out AS places FROM g1 JOIN spaced ON g1.doc_id = spaced.doc_id),
+g3 AS (SELECT doc_id, unnest(keys) AS key, unnest(places) AS char_start FROM g2),
+o AS (SELECT c.*, g3.char_start::INT AS char_start, (g3.char_start + length(c.text))::INT AS char_end FROM c JOIN g3 ON c.doc_id = g3.doc_id AND c.paragraph_id = g3.key.p AND c.index_in_para = g3.key.i)
+"""
+SQL["sentence_offsets"] = OFFSETS + "SELECT doc_id, paragraph_id::INT AS paragraph_id, index_in_para::INT AS index_in_para, sentence_id, text, word_count::INT AS word_count, char_start, char_end FROM o"
+SQL["heatmap_with_offsets"] = (
+    SCORED + OFFSETS[len(SENTENCES) :] + """SELECT e.doc_id, e.paragraph_id::INT AS paragraph_id, e.index_in_para::INT AS index_in_para, e.sentence_id, e.text, e.word_count::INT AS word_count, char_start, char_end, ai_score, is_flagged, severity,
+CASE WHEN n < 3 THEN '' ELSE array_to_string(list_sort(list_distinct(ai)), ',') END AS ai_markers, CASE WHEN n < 3 THEN '' ELSE array_to_string(canned, ',') END AS robotic_phrases
+FROM e JOIN o ON e.doc_id = o.doc_id AND e.paragraph_id = o.paragraph_id AND e.index_in_para = o.index_in_para"""
+)

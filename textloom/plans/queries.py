@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import preview, tokens, word_count
-from textloom.operators import chunk, fingerprint, normalize, rectify, report, scan, score, vectors
+from textloom.operators import chunk, fingerprint, library, normalize, rectify, report, scan, score, vectors
 from textloom.plans.planted import planted
 from textloom.sources import requests
 from textloom.sources.tables import spread, table
@@ -35,7 +35,7 @@ def _spaced(spark, d):
 
 
 def _features(spark, d):
-    return score.features(_planted(spark, d), entities=False)
+    return score.features(_planted(spark, d), entities=False).withColumn("doc_id", F.col("_row.doc_id"))
 
 
 @query
@@ -98,7 +98,7 @@ def verdict_counts(spark, d):
 
 @query
 def normalized(spark, d):
-    return _planted(spark, d).select("doc_id", normalize.normalize_native(F.col("text")).alias("clean"))
+    return _planted(spark, d).select("doc_id", normalize.normalize(F.col("text"), entities=False).alias("clean"))
 
 
 @query
@@ -160,7 +160,8 @@ def heatmap(spark, d):
 
 @query
 def heatmap_with_offsets(spark, d):
-    return scan.heatmap(_spaced(spark, d))
+    s = scan.heatmap(_spaced(spark, d))
+    return s.withColumns({c: F.array_join(c, ",") for c in ("ai_markers", "robotic_phrases")})
 
 
 @query
@@ -232,10 +233,9 @@ def semantic_chunks_by_space(spark, d):
 
 @query
 def semantic_search(spark, d):
-    """Chunks of the benchmark's passages of ids divisible by 50 against those of all passages, with the default encoder."""
-    c = table(spark, d, "benchmark").select("item_id", F.posexplode(chunk.semantic_chunks(F.col("text"))).alias("pos", "chunk"))
-    c = vectors.encode_chunks(c.select((F.col("item_id") * 1000 + F.col("pos")).alias("vec_id"), "item_id", "chunk"))
-    return vectors.knn_all(c.where("item_id % 50 = 0"), c, k=3)
+    """Chunks of the documents of ids divisible by 50 against those of all benchmark passages, with the default encoder."""
+    index = library.chunk_vectors(table(spark, d, "benchmark"), "item_id")
+    return library.semantic_query(_docs(spark, d).where("doc_id % 50 = 0"), index)
 
 
 @query
@@ -301,9 +301,42 @@ def detection(spark, d):
     return report.detect(_planted(spark, d), premium=True).withColumn("metrics", F.to_json("metrics"))
 
 
+@query
+def detection_metrics(spark, d):
+    """The metrics of a detection, one column each."""
+    m = report.detect(_planted(spark, d), entities=False).select("doc_id", "ai_score", "verdict", "metrics.*")
+    listed = [F.array_join(c, ",").alias(c) for c in ("ai_markers_found", "human_markers_found", "robotic_phrases_found")]
+    return m.select("doc_id", "ai_score", "verdict", "burstiness_cv", "type_token_ratio", "sentence_count", "word_count", *listed)
+
+
 @query
 def full_scan(spark, d):
-    return report.scan_full(_spaced(spark, d), fingerprint.build_index(table(spark, d, "benchmark"), "item_id"))
+    return report.scan_full(_spaced(spark, d), library.index(table(spark, d, "benchmark"), "item_id"), premium=True)
+
+
+@query
+def full_scan_counts(spark, d):
+    """A full scan's figures and how many entries each of its lists has."""
+    r = report.scan_full(_spaced(spark, d), library.index(table(spark, d, "benchmark"), "item_id"), entities=False)
+    sizes = [F.size("paragraph_analysis").alias("n_paragraphs"), F.size("sentence_heatmap").alias("n_sentences"), F.size("reasons").alias("n_reasons"), F.size("exact_matches").alias("n_exact")]
+    return r.select("doc_id", "overall_score", "verdict", "flagged_ai_sentence_count", *sizes)
+
+
+@query
+def unaltered_scan(spark, d):
+    """The document scan over the documents as they are, entities included."""
+    return scan.document_scan(_docs(spark, d))
+
+
+@query
+def unaltered_rectified(spark, d):
+    """The rewriter over the documents as they are, entities included."""
+    return rectify.rectify(_docs(spark, d))
+
+
+@query
+def unaltered_normalized(spark, d):
+    return _docs(spark, d).select("doc_id", normalize.normalize(F.col("text")).alias("clean"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the operators; each can be overridden by a Spark setting ``textloom.<name>``."""
+    """Parameters of the library and of full scans; ``of`` reads those that a Spark setting ``textloom.<name>`` overrides."""
 
     winnow_k: int = 5
     winnow_w: int = 4

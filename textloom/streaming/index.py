@@ -1,4 +1,4 @@
-"""A fingerprint index that grows with a stream, and lookups of a stream in it."""
+"""A library that grows with a stream of documents, and lookups of a stream in it."""
 
 from __future__ import annotations
 
@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators import fingerprint
+from textloom.operators import fingerprint, library
+from textloom.session import Settings
 
 
-def grow_index(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", k: int = fingerprint.K, w: int = fingerprint.W, **trigger) -> StreamingQuery:
-    """Appends the postings of a stream of documents under folder.
+def grow_index(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), **trigger) -> StreamingQuery:
+    """Adds the postings and chunk vectors of a stream of documents to the library under folder.
 
     A batch is written under its own number, so one that is run again after a failure replaces itself; documents seen
-    again leave repeats, which ``read_index`` removes.
+    again leave repeated postings, which ``read_index`` removes.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fingerprint.build_index(batch, id_col, text_col, k, w).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        both = library.index(batch, id_col, text_col, settings=settings)
+        both.postings.write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+        both.chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """All postings, each once."""
-    return spark.read.parquet(folder).select("hash", "doc_id", "pos").distinct()
+def read_index(spark: SparkSession, folder: str) -> library.References:
+    """The library so far; each posting once."""
+    both = library.stored(spark, folder)
+    return library.References(both.postings, both.chunks.drop("batch"))
 
 
 def match_stream(stream: DataFrame, postings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
