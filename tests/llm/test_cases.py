@@ -83,4 +83,7 @@ def test_archives(spark, tmp_path):
     kinds = sorted((r.key or "", r.record_type, r.refers_to, r.payload_bytes) for r in got)
     assert kinds[0] == ("", "revisit", "1", 200) and ("3", "revisit", "1", 200) in kinds and kinds.count(("1", "response", None, 200)) == 2
     assert {r.record_type for r in got if r.payload_bytes < 100} == {"response"}
+    odd = spark.createDataFrame([("", "x"), (None, big), ("a b>", big), ("<urn:page-without-id>", "z")], "page_id string, html string").withColumn("url", F.lit(None).cast("string"))
+    names = {r.key: r.refers_to for r in warc.read_archives(warc.normalise(warc.write_archives(odd, str(tmp_path / "o")), str(tmp_path / "o"))).collect()}
+    assert names == {"": None, None: "a b>", "a b>": None, "<urn:page-without-id>": None}
     assert warc.read_archives(warc.normalise(warc.write_archives(d.limit(0), str(tmp_path / "e")), str(tmp_path / "e"))).count() == 0

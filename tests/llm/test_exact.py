@@ -613,6 +613,16 @@ def test_mix_meets_targets(spark):
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
 
 
+def test_the_mix_of_many_like_rows(spark):
+    rows = [(None, None, "a")] * 300 + [(1, "w w w", "a")] * 50 + [(i, "x y", None) for i in range(20)] + [(7, "", "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.plan_mix(d).collect()
+    assert len(got) == len(rows) and sum(x.taken for x in got if x.source_size == 150) == round(next(x.target for x in got if x.source_size == 150))
+    assert all(x.taken == 0 and x.position is None for x in got if not x.size) and all(x.taken <= 2 * x.size for x in got)
+    plan = sum(x.copies + (x.part > 0 and 2 * x.part >= x.size) for x in got)
+    assert mixing.apply_mix(d).count() == plan
+
+
 def test_license_templates(spark):
     d = spark.createDataFrame([(1, "x " * 50 + "Licensed under the (very) Apache License, Version 2.0, and CC BY too"), (2, "under the old version of the general public"), (3, "RELEASED under the MIT license. " * 2)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}

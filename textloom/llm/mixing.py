@@ -5,7 +5,7 @@ rate is weight * (1 + g * (2t - 1)). The integral over all of training is the
 weight itself, which sets the source's target of words. Up to time t a source
 asks for target * (g * t^2 + (1 - g) * t) words; the inverse of that curve
 gives the time at which a word, and so a document, is due. Documents of a
-source come in an order set by a digest of their id; when the source is used
+source come in an order set by a digest of their id and text; when the source is used
 up, it starts over. The last document of a source is taken in part, so that
 the words taken are the rounded target exactly.
 
@@ -15,12 +15,14 @@ times its own words and what it leaves is shared by weight among the rest
 
 Running sums never put a whole source into one task: documents fall into 4096
 digest buckets a source; the sums of the buckets are run up first, then the
-documents inside each bucket.
+documents inside each bucket. The digest is of the id and the text, so only
+rows alike in both share a place; documents without words, which take nothing,
+are in no running sum.
 
 Only DataFrame functions are used. Edge cases: a null text has size 0; a null
 source is a source of its own, last in order; a source without words has
 target 0; documents without words take 0. Repeated rows are documents of
-their own, in the order of their text's hash. Only the named columns are read
+their own; which of them comes first makes no difference. Only the named columns are read
 by ``plan_mix``, and ``apply_mix`` works under names of its own, so other
 columns cannot clash. An empty table gives an empty result.
 """
@@ -61,26 +63,30 @@ def source_targets(sources: DataFrame, weights=(3, 1, 2), ramps=(-0.5, 0.0, 0.5)
     return s.select("_src", "_words", "_ramp", F.when((F.col("_k") < F.col("_first")) | F.col("_first").isNull(), F.col("_cap")).otherwise(F.col("_lambda") * F.col("_w")).alias("_target"))
 
 
-def _planned(rows: DataFrame, sized: DataFrame, **how) -> DataFrame:
-    """rows (with _id, _src, _size, _digest, _tie, _bucket and whatever else they carry) with _words, _target, _ramp, _taken, _copies, _part, _before."""
+def _starts(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """From rows with _src, _size, _bucket: what stands before each bucket (_s, _b, _offset and its source's figures), and the sources' figures (_s, _words, _target, _ramp)."""
     buckets = scratch.write(sized.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_sum")))
-    sources = buckets.groupBy("_src").agg(F.sum("_sum").alias("_words"))
+    targets = scratch.write(source_targets(buckets.groupBy("_src").agg(F.sum("_sum").alias("_words")), **how).withColumnRenamed("_src", "_s"))
     so_far = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("_offset", F.coalesce(F.sum("_sum").over(so_far), F.lit(0))).drop("_sum")
-    targets = source_targets(sources, **how)
+    offsets = buckets.withColumn("_offset", F.coalesce(F.sum("_sum").over(so_far), F.lit(0))).select("_src", F.col("_bucket").alias("_b"), "_offset")
     # One row for each source and bucket; a source has 4096 of them at most.
-    starts = scratch.write(offsets.alias("o").join(targets.alias("t"), F.col("o._src").eqNullSafe(F.col("t._src"))).select(F.col("o._src").alias("_s"), F.col("o._bucket").alias("_b"), "_offset", "_words", "_target", "_ramp"))
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_digest", "_id", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = offsets.join(targets, F.col("_src").eqNullSafe(F.col("_s"))).drop("_src")
+    return scratch.write(starts), targets
+
+
+def _planned(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """rows of some size (with _src, _size, _digest, _bucket and whatever else they carry) with _words, _target, _ramp, _taken, _copies, _part, _before."""
+    inside = Window.partitionBy("_src", "_bucket").orderBy("_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = rows.withColumn("_run", F.sum("_size").over(inside)).join(starts, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
     r = r.withColumns({"_before": F.col("_offset") + F.col("_run") - F.col("_size"), "_goal": F.round("_target").cast("long")})
-    r = r.withColumn("_copies", F.when(F.col("_words") > 0, F.floor(F.col("_goal") / F.col("_words"))).otherwise(F.lit(0)).cast("long"))
+    r = r.withColumn("_copies", F.floor(F.col("_goal") / F.col("_words")).cast("long"))
     r = r.withColumn("_part", F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_goal") - F.col("_copies") * F.col("_words") - F.col("_before"))).cast("long"))
-    return r.withColumn("_taken", F.col("_copies") * F.col("_size") + F.col("_part")).drop("_offset", "_run")
+    return r.withColumn("_taken", F.col("_copies") * F.col("_size") + F.col("_part")).drop("_offset", "_run", "_goal")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words(F.col(text_col)).alias("_size"), digest.alias("_digest"), F.xxhash64(text_col).alias("_tie"), F.substring(digest, 1, DIGITS).alias("_bucket"), *more)
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words(F.col(text_col)).alias("_size"), digest.alias("_digest"), F.substring(digest, 1, DIGITS).alias("_bucket"), *more)
 
 
 def _time(copy: Column) -> Column:
@@ -93,8 +99,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """One row per row of docs, range-sorted by the time of its first copy: id, size, source_size, target, taken,
     copies (whole ones), part (words of one more copy) and position (null if nothing is taken)."""
     sized = scratch.write(_keyed(docs, id_col, text_col, source_col))
-    r = _planned(sized, sized, **how)
-    return r.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_copies").alias("copies"), F.col("_part").alias("part"), F.when(F.col("_taken") > 0, _time(F.lit(0))).alias("position")).orderBy("position", id_col)
+    starts, targets = _starts(sized, **how)
+    figures = ["_id", "_size", "_words", "_target", "_taken", "_copies", "_part", "_at"]
+    some = _planned(sized.where("_size > 0"), starts).withColumn("_at", F.when(F.col("_taken") > 0, _time(F.lit(0)))).select(*figures)
+    none = F.lit(0).cast("long")
+    idle = sized.where("_size = 0").join(targets, F.col("_src").eqNullSafe(F.col("_s"))).withColumns({"_taken": none, "_copies": none, "_part": none, "_at": F.lit(None).cast("double")}).select(*figures)
+    names = [id_col, "size", "source_size", "target", "taken", "copies", "part", "position"]
+    return some.union(idle).toDF(*names).orderBy("position", id_col)
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -102,14 +113,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     more if that is half of it or more; texts are not cut. Rows of texts without words are left out."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sized = scratch.write(_keyed(docs, id_col, text_col, source_col))
-    plan = _planned(sized, sized, **how)
-    # The plan is made without texts. Rows of one id and text are alike, so each takes any one of their entries.
-    alike = Window.partitionBy("_digest", "_tie")
-    plan = plan.groupBy(F.col("_digest").alias("_d"), F.col("_tie").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("_before", "_copies", "_words", "_size", "_part", "_target", "_ramp"))).alias("_plans"))
-    rows = _keyed(docs, id_col, text_col, source_col, whole).select("_digest", "_tie", "_row").withColumn("_k", F.row_number().over(alike.orderBy("_tie")))
-    r = rows.join(plan, (F.col("_digest") == F.col("_d")) & (F.col("_tie") == F.col("_t"))).select("_row", "_digest", F.element_at("_plans", F.col("_k")).alias("_p")).select("_row", "_digest", "_p.*")
+    starts, _ = _starts(sized, **how)
+    r = _planned(_keyed(docs, id_col, text_col, source_col, whole).where("_size > 0").drop("_id"), starts)
     times = F.col("_copies") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)
-    r = r.where(times > 0).select("_row", "_copies", "_words", "_before", "_size", "_part", "_target", "_ramp", "_digest", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias("_copy"))
+    r = r.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
     r = r.select("_row", _time(F.col("_copy")).alias("_at"), "_digest").orderBy("_at", "_digest")
     return r.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
@@ -120,7 +127,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS dig FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS dig FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source
 ), w AS (

@@ -71,15 +71,28 @@ def opened(path: str, mode: str):
         yield f
 
 
-def record(key: str, uri: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+#: The name of a null id, which no id's name can equal.
+NOBODY = "<urn:page-without-id>"
+
+
+def urn(key: str | None) -> str:
+    return NOBODY if key is None else f"<urn:page:{quote(key)}>"
+
+
+def named(name: str) -> str | None:
+    """The id in a record's name."""
+    return None if name == NOBODY else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+
+
+def record(key: str | None, uri: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record. Revisits hold no payload; its length is kept in a header."""
     body = b"" if refers_to is not None else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{quote(key)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(uri, safe=':/?&=%#,;@+~')}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(key)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(uri, safe=':/?&=%#,;@+~')}",
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(body)}", "Content-Type: text/html",
     ]
     if refers_to is not None:
-        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{quote(refers_to)}>"]
+        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -188,7 +201,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
                 z = zlib.compressobj(6, zlib.DEFLATED, GZIP)
                 while row is not None and size < file_bytes:
                     key, uri, payload, digest, first = row
-                    f.write(z.compress(record("" if key is None else str(key), uri, payload, digest, None if first is None else str(first))))
+                    f.write(z.compress(record(None if key is None else str(key), uri, payload, digest, None if first is None else str(first))))
                     n, size = n + 1, size + len(payload)
                     row = next(rows, None)
                 f.write(z.flush())
@@ -232,8 +245,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                     size = len(block) if kind == "response" else int(head["X-Payload-Length"])
                     if kind == "response" and (head["WARC-Payload-Digest"] != f"sha256:{digest}"):
                         raise ValueError(f"a payload in {path} is not what was written")
-                    name = lambda x: unquote(x.removeprefix("<urn:page:").removesuffix(">"))
-                    rows.append((name(head["WARC-Record-ID"]) or None, size, digest, kind, name(head["WARC-Refers-To"]) if kind == "revisit" else None))
+                    rows.append((named(head["WARC-Record-ID"]), size, digest, kind, named(head["WARC-Refers-To"]) if kind == "revisit" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names=names)
 
     names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
