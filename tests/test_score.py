@@ -62,6 +62,7 @@ def test_rewriting(spark):
     assert rectify.rewrite("PIVOTAL Pivotal pivotal")[0] == "KEY Key key"
     assert rectify.rewrite("It is a day of which we say that it is fine.")[0] == "It's a day of which we say that it is fine."
     assert rectify.rewrite("it is not so")[0] == "it is not so"
+    assert rectify.rewrite("We know it stands as a prime example of all that.")[0] == "We know it's a clear example of all that."
     r = rectify.rectify(spark.createDataFrame([(1, AI), (2, None), (3, " ")], "doc_id int, text string")).orderBy("doc_id").collect()
     assert r[0].original_ai_score > 60 and r[0].score_reduction > 20 and r[0].modifications_count >= len(r[0].sentence_comparisons) > 0
     assert r[1].rectified_text is None and r[2].rectified_text == " " and r[1].score_reduction == 0

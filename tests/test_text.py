@@ -68,6 +68,21 @@ def test_abbreviations(spark):
     assert len(sentences(spark, "Dr. Smith met Prof. Lee, e.g. at noon. They left at 10 a.m. promptly.")) == 2
 
 
+def test_abbreviations_against_plain_python(spark):
+    r = random.Random(8)
+    raw = ["".join(r.choice(["e.g.", "I.E.", "i.e.g.", "e.g.e.g.", "Dr.", "xdr.", "al.", "é.g.", "etc. ", "fig.", "a b ", "c d. ", "\u00a0", '"', "'", "! ", "x.Y", "vs.", "\n"]) for _ in range(r.randint(1, 25))) for _ in range(300)]
+
+    def plain(t):
+        t = re.sub(r"([a-z0-9])\.([A-Z])", r"\1. \2", t)
+        for a in lexicon.ABBREVIATIONS:
+            t = re.sub(r"\b" + re.escape(a), lambda m: m[0].replace(".", "\0"), t, flags=re.I)
+        return [p for x in re.split(r"(?<=[.!?])(?=[\s\"']+|$)", t) if len((p := x.replace("\0", ".").strip()).split()) >= 2]
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string")
+    got = {x.i: x.s for x in d.select("i", chunk.chunk_sentences(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(raw))] == [plain(t) for t in raw]
+
+
 def test_missing_space(spark):
     assert sentences(spark, "We saw many observations.For instance this one.") == ["We saw many observations.", "For instance this one."]
 

@@ -13,11 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import NOT_BEFORE, SPACE, strip, word_count
+from textloom.functions.text import NOT_BEFORE, NOT_SPACE, SPACE, strip, word_count
 
 _DOT = "§DOT§"
-_TWO = [a[:-1].split(".") for a in lexicon.ABBREVIATIONS if a.count(".") == 2]
 _ONE = "|".join(a[:-1] for a in lexicon.ABBREVIATIONS if a.count(".") == 1)
+#: The stops of abbreviations. All begin with the stop itself, so that only stops are looked at closely; in i.e.g. the later one counts.
+_STOPS = (
+    rf"(?i)\.(?:(?<={NOT_BEFORE}(?:{_ONE})\.)|(?<={NOT_BEFORE}e\.)(?=g\.)|(?<={NOT_BEFORE}e\.g\.)"
+    rf"|(?<={NOT_BEFORE}i\.)(?=e\.(?!g\.))|(?<={NOT_BEFORE}i\.e\.)(?!g\.))"
+)
+_TWO_WORDS = rf"{NOT_SPACE}{SPACE}+{NOT_SPACE}"
 
 
 def detector_sentences(c: Column) -> Column:
@@ -38,14 +43,13 @@ def semantic_chunks(c: Column, spaces_only: bool = False) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: word_count(s) >= 4)
 
 
-def chunk_sentences(c: Column, least: int = 2) -> Column:
-    """Sentences of a paragraph; stops of abbreviations end none, and parts of fewer than ``least`` words are dropped."""
-    c = F.regexp_replace(c, r"([a-z0-9])\.([A-Z])", "$1. $2")
-    for a, b in _TWO:
-        c = F.regexp_replace(c, rf"(?i){NOT_BEFORE}({a})\.({b})\.", f"$1{_DOT}$2{_DOT}")
-    c = F.regexp_replace(c, rf"(?i){NOT_BEFORE}({_ONE})\.", f"$1{_DOT}")
-    parts = F.split(c, rf"(?<=[.!?])(?={SPACE}|[\x22']|$)")
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: word_count(s) >= least)
+def chunk_sentences(c: Column) -> Column:
+    """Sentences of a paragraph; stops of abbreviations end none, and parts of one word are dropped."""
+    c = F.regexp_replace(strip(c), r"([a-z0-9])\.([A-Z])", "$1. $2")
+    parts = F.split(F.regexp_replace(c, _STOPS, _DOT), rf"(?<=[.!?])(?={SPACE}|[\x22']|$)")
+    # Only white space before a part can be left: the text is stripped, and the parts but the last end with a stop.
+    whole = F.transform(parts, lambda s: F.replace(F.regexp_replace(s, rf"^{SPACE}+", ""), F.lit(_DOT), F.lit(".")))
+    return F.filter(whole, lambda s: F.rlike(s, F.lit(_TWO_WORDS)))
 
 
 def paragraphs(c: Column) -> Column:

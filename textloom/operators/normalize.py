@@ -26,15 +26,17 @@ _BRACKETS, _OTHER = re.compile(r"[$^_{}\[\]\\]"), re.compile(r"[^\w\s.,;:!?\-'\"
 _GAPS, _LOOSE = re.compile(r"\t[ \t]*| [ \t]+"), re.compile(r"\s+(?=[.,;:!?])")
 _EMPTY_LINES = re.compile(r"\n{3,}")
 #: All of these are single signs and none of their words holds one, so one pass replaces them.
-_SIGNS = {ord(a): b for a, b in lexicon.TYPOGRAPHY + lexicon.MATH + lexicon.GREEK}
+_WORDS = dict(lexicon.TYPOGRAPHY + lexicon.MATH + lexicon.GREEK)
+_SIGN = re.compile(f"[{''.join(_WORDS)}]")
+_CONTROL, _FAR = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]"), re.compile("[\U00010000-\U0010ffff]")
 
 
 @functools.cache
-def _unprintable() -> re.Pattern:
-    """Signs that are not printable, but for line breaks and tabs."""
+def _unprintable(first: int, last: int) -> re.Pattern:
+    """Signs of a range of code points that are not printable, but for line breaks and tabs."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        bad = c <= sys.maxunicode and not chr(c).isprintable() and c not in (9, 10)
+    for c in range(first, last + 2):
+        bad = c <= last and not chr(c).isprintable() and c not in (9, 10)
         if bad and start is None:
             start = c
         elif not bad and start is not None:
@@ -43,6 +45,14 @@ def _unprintable() -> re.Pattern:
     return re.compile(f"[{''.join(out)}]")
 
 
+def _printable(text: str) -> str:
+    """The text without unprintable signs. Classes within the first 65,536 code points are looked up, others are searched range by range, so these are kept apart."""
+    if text.isascii():
+        return _CONTROL.sub("", text)
+    text = _unprintable(0, 0xFFFF).sub("", text)
+    return _unprintable(0x10000, sys.maxunicode).sub("", text) if _FAR.search(text) else text
+
+
 def normalized(text: str | None, entities: bool = True) -> str:
     """One text, normalised."""
     if not text:
@@ -60,8 +70,8 @@ def normalized(text: str | None, entities: bool = True) -> str:
         text = _BARE.sub(" ", text)
     text = _BRACKETS.sub(" ", text)
     if not text.isascii():
-        text = text.translate(_SIGNS)
-    text = _OTHER.sub(" ", _unprintable().sub("", text))
+        text = _SIGN.sub(lambda m: _WORDS[m[0]], text)
+    text = _OTHER.sub(" ", _printable(text))
     text = _LOOSE.sub("", _GAPS.sub(" ", text))
     return (_EMPTY_LINES.sub("\n\n", text) if "\n\n\n" in text else text).strip()
 
