@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import fingerprint, library, vectors
 from textloom.sources import requests
+from textloom.sources.tables import csv_table
 from textloom.streaming import index
 
 
@@ -90,6 +91,19 @@ def test_library_grows_and_answers(spark, tmp_path):
     assert [(r.query_id, r.query_pos, r.matched_doc, r.matched_text, r.rank) for r in rows if r.rank == 1] == [(1, 0, "r0", "Alpha beta gamma delta runs.", 1)]
 
 
+def test_what_a_library_rejects(spark):
+    text = "the quick brown fox jumps over the lazy dog while the sun sets"
+    d = spark.createDataFrame([("a", text), (" ", text), (None, text), ("b", " \u00a0\n"), ("c", None)], "doc_id string, text string")
+    both = library.index(d)
+    assert {r.doc_id for r in both.postings.collect()} == {r.doc_id for r in both.chunks.collect()} == {"a"} and library.rejected(d).count() == 4
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"x, y"\n2,\n')
+    assert [tuple(r) for r in csv_table(spark, str(tmp_path / "x.csv")).collect()] == [(1, "x, y"), (2, None)]
+    assert csv_table(spark, str(tmp_path), schema="a string, b string").first().a == "1"
+
+
 def test_semantic_query_against_brute_force(spark):
     import random
 

@@ -1,4 +1,4 @@
-"""Tables of a folder of Parquet files."""
+"""Tables of a folder of Parquet files, and CSV files."""
 
 from __future__ import annotations
 
@@ -9,6 +9,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def csv_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV file or folder with a header; types are inferred unless a schema is given."""
+    return spark.read.options(header=True, **({} if "schema" in options else {"inferSchema": True})).csv(path, **options)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if it comes in no more partitions than there are cores, as a single small file does; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
