@@ -64,20 +64,21 @@ def source_targets(sources: DataFrame, weights=(3, 1, 2), ramps=(-0.5, 0.0, 0.5)
 
 
 def _starts(sized: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-    """From rows with _src, _size, _bucket: what stands before each bucket (_s, _b, _offset and its source's figures), and the sources' figures (_s, _words, _target, _ramp)."""
-    buckets = scratch.write(sized.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_sum")))
+    """From rows with _src, _size, _slot: what stands before each bucket (_b, its slot, _offset and its source's figures), and the sources' figures (_s, _words, _target, _ramp)."""
+    buckets = scratch.write(sized.groupBy("_src", "_slot").agg(F.sum("_size").alias("_sum")))
     targets = scratch.write(source_targets(buckets.groupBy("_src").agg(F.sum("_sum").alias("_words")), **how).withColumnRenamed("_src", "_s"))
-    so_far = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("_offset", F.coalesce(F.sum("_sum").over(so_far), F.lit(0))).select("_src", F.col("_bucket").alias("_b"), "_offset")
+    so_far = Window.partitionBy("_src").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.withColumn("_offset", F.coalesce(F.sum("_sum").over(so_far), F.lit(0))).select("_src", F.col("_slot").alias("_b"), "_offset")
     # One row for each source and bucket; a source has 4096 of them at most.
-    starts = offsets.join(targets, F.col("_src").eqNullSafe(F.col("_s"))).drop("_src")
+    starts = offsets.join(targets, F.col("_src").eqNullSafe(F.col("_s"))).drop("_src", "_s")
     return scratch.write(starts), targets
 
 
 def _planned(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """rows of some size (with _src, _size, _digest, _bucket and whatever else they carry) with _words, _target, _ramp, _taken, _copies, _part, _before."""
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = rows.withColumn("_run", F.sum("_size").over(inside)).join(starts, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
+    """rows of some size (with _size, _digest, _slot and whatever else they carry) with _words, _target, _ramp, _taken, _copies, _part, _before."""
+    inside = Window.partitionBy("_slot").orderBy("_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One key for the join and the window, so rows are dealt once.
+    r = rows.join(starts, F.col("_slot") == F.col("_b")).withColumn("_run", F.sum("_size").over(inside)).drop("_b", "_slot")
     r = r.withColumns({"_before": F.col("_offset") + F.col("_run") - F.col("_size"), "_goal": F.round("_target").cast("long")})
     r = r.withColumn("_copies", F.floor(F.col("_goal") / F.col("_words")).cast("long"))
     r = r.withColumn("_part", F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_goal") - F.col("_copies") * F.col("_words") - F.col("_before"))).cast("long"))
@@ -86,7 +87,8 @@ def _planned(rows: DataFrame, starts: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words(F.col(text_col)).alias("_size"), digest.alias("_digest"), F.substring(digest, 1, DIGITS).alias("_bucket"), *more)
+    slot = F.concat(F.substring(digest, 1, DIGITS), F.coalesce(F.concat(F.lit("+"), F.col(source_col).cast("string")), F.lit("-")))
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words(F.col(text_col)).alias("_size"), digest.alias("_digest"), slot.alias("_slot"), *more)
 
 
 def _time(copy: Column) -> Column:
@@ -114,7 +116,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sized = scratch.write(_keyed(docs, id_col, text_col, source_col))
     starts, _ = _starts(sized, **how)
-    r = _planned(_keyed(docs, id_col, text_col, source_col, whole).where("_size > 0").drop("_id"), starts)
+    r = _planned(_keyed(docs, id_col, text_col, source_col, whole).where("_size > 0").drop("_id", "_src"), starts)
     times = F.col("_copies") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size")), 1).otherwise(0)
     r = r.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))))
     r = r.select("_row", _time(F.col("_copy")).alias("_at"), "_digest").orderBy("_at", "_digest")
