@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.llm import licenses, mixing, warc
+from textloom.llm import exactdedup, licenses, mixing, warc
+from textloom.llm.exactdedup import op13_exact_dedup
 from textloom.llm.langid import op6_language_id
 from textloom.llm.licenses import op3_license_scan
 from textloom.llm.mixing import op5_mixing
@@ -11,6 +12,7 @@ from textloom.llm.pieces import op7_sentencepiece
 from textloom.llm.quality import op9_quality_rules
 from textloom.llm.secrets import op10_secret_scan
 from textloom.llm.syncmers import op4_syncmers
+from textloom.llm.tokenalign import op12_token_alignment
 from textloom.llm.toxicity import op2_toxicity
 from textloom.llm.warc import op8_warc
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
@@ -44,7 +48,7 @@ def edited_texts(spark, sf_dir: str):
 
 
 QUERIES |= {"base_secrets": base_secrets, "base_quality": base_quality, "edited_texts": edited_texts}
-SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL, "op13_exact_dedup": exactdedup.SQL}
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 SQL["base_secrets"] = rf"""
