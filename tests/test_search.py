@@ -49,12 +49,12 @@ def test_knn(spark):
         s = u @ u[q]
         want = sorted(range(300), key=lambda i: (-s[i], i))[:4]
         assert [x.match_id for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == want
-    with pytest.raises(ValueError):
-        old, vectors.MOST_QUERIES = vectors.MOST_QUERIES, 3
-        try:
-            vectors.knn(d, d)
-        finally:
-            vectors.MOST_QUERIES = old
+    # However the rows are dealt into cells and blocks, the result is the same.
+    for cells, rows in (((1, 1), 7), ((3, 2), 100), ((1, 5), 1000)):
+        assert sorted(vectors.knn(d.where("vec_id % 50 = 0"), d, k=4, cells=cells, query_rows=2, index_rows=rows).collect()) == sorted(got)
+    longer = spark.createDataFrame([(0, [1.0] * 9)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="vectors of 9 places, the index of 8"):
+        vectors.knn(longer, d).collect()
 
 
 def test_knn_takes_the_smallest_ids_of_many_equal_vectors(spark):
@@ -66,16 +66,26 @@ def test_knn_takes_the_smallest_ids_of_many_equal_vectors(spark):
         assert {i: [x.match_id for x in got if x.query_id == i] for i in want} == want
 
 
-def test_registered_searches_take_any_number_of_queries(spark, tmp_path, monkeypatch):
+def test_registered_searches_build_without_jobs(spark, tmp_path):
     from textloom.plans import queries
 
     r = np.random.default_rng(4)
     d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 8)))], "vec_id long, embedding array<double>").coalesce(2)
     d.write.parquet(str(tmp_path / "embeddings.parquet"))
-    want = sorted(vectors.knn(d.where("vec_id % 50 = 0"), d, k=3).collect())
-    monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
-    assert sorted(queries.QUERIES["knn_topk"](spark, str(tmp_path)).collect()) == want and len(want) == 24
-    assert vectors.knn_all(d.where("vec_id < 0"), d).count() == 0
+    spark.createDataFrame([(i, f"one sentence number {i} of a few words. And then another one, too.") for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"one sentence number {i} of a few words.") for i in range(9)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    built = {n: queries.QUERIES[n](spark, str(tmp_path)) for n in ("knn_topk", "semantic_search", "full_scan", "full_scan_counts")}
+    # Tables' schemas and one look whether the library holds anything; no job over queries.
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("", "")
+    assert sum(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)) <= 30
+    assert built["knn_topk"].count() == 24
+    found = built["semantic_search"].collect()
+    assert {r.query_id for r in found} == {0, 50} and all(r.similarity >= 0.75 for r in found)
+
+
 
 
 def test_library_grows_and_answers(spark, tmp_path):
