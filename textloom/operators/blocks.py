@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def unpack(block: bytes) -> pa.Table:
@@ -42,8 +44,7 @@ def pack(rows: DataFrame, group: Column | str, size: int, describe: Callable[[pa
             w.write_table(table)
         said = describe(table) if describe else {}
         cols = {"group": [number], "n": [table.num_rows], "block": [sink.getvalue().to_pybytes()]} | {k: [v] for k, v in said.items()}
-        types = {"group": pa.int32(), "n": pa.int32(), "block": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(v, types.get(k)) for k, v in cols.items()], names=list(cols))
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in kinds], names=kinds.names)
 
     def run(batches):
         held: dict[int, list[pa.Table]] = {}
@@ -66,7 +67,9 @@ def pack(rows: DataFrame, group: Column | str, size: int, describe: Callable[[pa
         for g, parts in held.items():
             yield emit(g, parts)
 
-    return keyed.mapInArrow(run, "group int, n int, block binary" + (f", {fields}" if fields else ""))
+    declared = "group int, n int, block binary" + (f", {fields}" if fields else "")
+    kinds = to_arrow_schema(StructType.fromDDL(declared))
+    return keyed.mapInArrow(run, declared)
 
 
 def groups_of(key: Column, n: int) -> Column:
