@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import exactdedup, licenses, mixing, warc
+from textloom.llm import exactdedup, licenses, mixing, negatives, warc
 from textloom.llm.exactdedup import op13_exact_dedup
 from textloom.llm.langid import op6_language_id
 from textloom.llm.licenses import op3_license_scan
 from textloom.llm.mixing import op5_mixing
 from textloom.llm.neardup import op1_probminhash
+from textloom.llm.negatives import op11_hard_negatives
 from textloom.llm.pieces import op7_sentencepiece
 from textloom.llm.quality import op9_quality_rules
 from textloom.llm.secrets import op10_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_alignment": op12_token_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -48,7 +50,7 @@ def edited_texts(spark, sf_dir: str):
 
 
 QUERIES |= {"base_secrets": base_secrets, "base_quality": base_quality, "edited_texts": edited_texts}
-SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL, "op13_exact_dedup": exactdedup.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_mixing": mixing.SQL, "op8_warc": warc.SQL, "op11_hard_negatives": negatives.SQL, "op13_exact_dedup": exactdedup.SQL}
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 SQL["base_secrets"] = rf"""
