@@ -43,7 +43,7 @@ from textloom.operators import blocks
 LIMIT = 2.0**31
 #: Below this, sums of products are exact in double precision.
 EXACT = 2.0**53
-LOW = np.iinfo(np.int64).min
+LOW, HIGH = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ def _placed(rows: DataFrame, centers: np.ndarray, width: int, seeds: Callable[[]
                 score = (m.astype(exact) @ x.T.astype(exact)).astype(np.int64)
                 fits = own_label[:, None] == label[None, :]
                 fits = fits & (own_key[:, None] != key[None, :]) if same else ~fits
-                least, most = ([[LOW]] * len(m), [[np.iinfo(np.int64).max]] * len(m)) if lists is None else (b.column(b.schema.get_field_index(c)).to_pylist() for c in lists)
+                least, most = ([[LOW]] * len(m), [[HIGH]] * len(m)) if lists is None else (b.column(b.schema.get_field_index(c)).to_pylist() for c in lists)
                 raised = []
                 for i in range(len(m)):
                     own, row = np.sort(score[i][fits[i]]), []
@@ -275,7 +275,9 @@ def mine(rows: DataFrame, id_col: str, vector_col: str, label: Column, anchors:
     down = lambda x: F.floor(x.cast("decimal(30,0)") / 100).cast("long")
     p = F.col("positive_score").cast("decimal(20,0)")
     bands = positives.groupBy(F.col("key").alias("of")).agg(F.array_sort(F.collect_list(F.struct("place", (-down(-p * o.low)).alias("lo"), down(p * o.high).alias("hi")))).alias("bands"))
-    second = starts.join(bands, F.col("key") == F.col("of")).select("key", "id", "label", "v", F.col("bands.lo").alias("lo"), F.col("bands.hi").alias("hi"))
+    # Where there are fewer positives, the rest are bands that hold nothing.
+    filled = lambda c, empty: F.concat(F.col(f"bands.{c}"), F.array_repeat(F.lit(empty), F.lit(o.positives) - F.size("bands"))).alias(c)
+    second = starts.join(bands, F.col("key") == F.col("of")).select("key", "id", "label", "v", filled("lo", HIGH), filled("hi", LOW))
     pieces = _dealt_blocks(_pieces(_placed(second, centers, width, seeds, ("lo", "hi"), o.negatives, False), centers, width, o.members), groups)
     negatives = _walked(pieces, segments, groups, centers, width, exact, o.negatives, False, o.step).select("key", (F.col("list") + 1).alias("place"), "rank", F.col("found").alias("negative_id"), F.col("score").alias("negative_score"))
     named = positives.join(starts.select("key", F.col("id").alias("anchor_id")), "key")
