@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -27,32 +28,34 @@ def shared_folder(spark: SparkSession) -> str:
 def write(df: DataFrame) -> DataFrame:
     """Writes df and reads it back: lineage ends here, lost executors cost nothing written, and sizes are known to the planner."""
     folder = shared_folder(df.sparkSession)
-    if _scopes:
-        _scopes[-1].append(folder)
+    if (scope := _scope.get()) is not None:
+        scope.append(folder)
     df.write.parquet(f"{folder}/table")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
 
 
-_scopes: list[list[str]] = []
+#: Folders of the scope that the calling thread is in; threads have scopes of their own.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession):
     """Tables written inside are removed at the end; what is still needed must have been written by ``kept`` by then."""
-    _scopes.append([])
+    before = _scope.set(folders := [])
     try:
         yield
     finally:
+        _scope.reset(before)
         hadoop = spark._jvm.org.apache.hadoop.fs
-        for folder in _scopes.pop():
+        for folder in folders:
             path = hadoop.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """As write, for a table that outlives the scope."""
-    _scopes.append([])
+    before = _scope.set(None)
     try:
         return write(df)
     finally:
-        _scopes.pop()
+        _scope.reset(before)

@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -339,13 +341,21 @@ def find(texts: list[str], data: np.ndarray, offsets: np.ndarray, field: Field)
         text = tb.owner(first)
         stop = np.append(np.flatnonzero(label != I), len(label))
         last = stop[np.searchsorted(stop, begin, "right")] - 1
-        for a, b in zip(begin.tolist(), last.tolist(), strict=True):
-            d = int(text[a])
-            low = int(offsets[d])
-            s = len(data[low : starts[a]].tobytes().decode())
-            e = s + len(data[starts[a] : ends[b]].tobytes().decode())
-            if not any(i <= s and e <= j for i, k, j in out[d] if k < 3):
-                out[d].append((s, 3, e))
+        # Code points before each byte, counted once for the block.
+        points = np.concatenate([[0], np.cumsum(tb.LEAD[data])])
+        low = points[offsets[text[begin]]]
+        inside: dict[int, tuple[list[int], list[int]]] = {}
+        added = []
+        for d, s, e in zip(text[begin].tolist(), (points[starts[begin]] - low).tolist(), (points[ends[last]] - low).tolist(), strict=True):
+            if d not in inside:
+                inside[d] = [x[0] for x in out[d]], list(accumulate((x[2] for x in out[d]), max))
+            begins, reach = inside[d]
+            # Of the base spans that begin here or before, the one that reaches furthest tells whether any holds this span.
+            k = bisect_right(begins, s)
+            if not k or reach[k - 1] < e:
+                added.append((d, (s, 3, e)))
+        for d, span in added:
+            out[d].append(span)
     return [sorted(x) for x in out]
 
 

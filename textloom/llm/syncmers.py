@@ -36,6 +36,8 @@ from textloom.llm import textbytes as tb
 K, S = 12, 6
 #: Bytes of texts that a range should hold, and ids that are looked at for each cut between ranges.
 RANGE_BYTES, TRIES = 64_000_000, 20
+#: Ranges and keys that the driver holds at most.
+MOST_RANGES, MOST_KEYS = 20_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -161,18 +163,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _cuts(docs: DataFrame, least: int) -> list[tuple]:
     """Sorted (id, tie) of rows, the table's first one among them, that cut it into ranges of like numbers of bytes; least: ranges at least.
 
-    A row is looked at with a chance that grows with its bytes, decided by a hash of it, so about TRIES rows a range are sent here.
+    A row is looked at with a chance that grows with its bytes, decided by a hash of it. About TRIES rows a range are sent
+    here, fewer where there are many ranges, and of ranges there are MOST_RANGES at most: beyond that they hold more
+    bytes, which a task streams over. So the driver holds no more than about MOST_KEYS keys, however large the table is.
     """
     size = F.octet_length("text") + 1
-    total = docs.agg(F.sum(size).alias("n")).first().n
-    if total is None:
+    seen = docs.agg(F.sum(size).alias("n"), F.min(F.struct(F.col("id").isNotNull(), "id", "tie")).alias("r")).first()
+    if seen.n is None:
         return []
-    ranges = max(least, -(-total // RANGE_BYTES))
-    chance = F.least(F.lit(1.0), size / F.lit(total / (ranges * TRIES)))
+    ranges = min(max(least, -(-seen.n // RANGE_BYTES)), max(least, MOST_RANGES))
+    tries = max(2, min(TRIES, MOST_KEYS // ranges))
+    chance = F.least(F.lit(1.0), size / F.lit(seen.n / (ranges * tries)))
     unit = F.xxhash64("tie", F.lit(1)) / F.lit(2.0**64) + 0.5
     drawn = [(r.id, r.tie) for r in docs.where(unit < chance).select("id", "tie").distinct().orderBy("id", "tie").collect()]
-    first = docs.agg(F.min(F.struct(F.col("id").isNotNull(), "id", "tie")).alias("r")).first().r
-    return sorted({(first["id"], first["tie"]), *drawn[TRIES // 2 :: TRIES]}, key=_order)
+    return sorted({(seen.r["id"], seen.r["tie"]), *drawn[tries // 2 :: tries]}, key=_order)
 
 
 def _order(key: tuple) -> tuple:

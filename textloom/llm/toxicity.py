@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon and Aho-Corasick matching.
 
-Texts are folded first: case, letters of other scripts that look like Latin
-ones, full-width forms, and digits or signs that stand in for letters
+Texts are folded first: case, accents, full-width, circled and mathematical
+forms (compatibility decomposition without its marks), letters of other scripts
+that look like Latin ones, and digits or signs that stand in for letters
 (``1d10t``, ``$cum``). Terms are whole words or beginnings of words. Hits
 inside an exception phrase do not count. The weights of all other hits are
 summed, and the sum and its share of the text's length go through a logistic
@@ -29,8 +30,11 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,8 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 EXCEPTIONS = ("bastard sword", "damn good", "dumb terminal", "dumb waiter", "garbage collection", "garbage collector", "jerk chicken", "killer app", "pig iron", "rat race", "sucker punch", "ugly duckling", "weasel words", "wild ass")
 
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: str(i) for i in range(10)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
+#: Combining marks, as decomposed letters carry them.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f]+")
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _SIGN = re.compile(r"[@$](?=[^\W_])|(?<=[^\W_])[!|](?=[^\W_])")
 #: Lower-cased ASCII letters stay, digits give way to letters, bytes of other scripts stay, all else is a space.
@@ -59,8 +65,11 @@ _BYTES = bytes(ord(STAND_INS[chr(b)]) if chr(b) in STAND_INS and 48 <= b < 58 el
 def fold(text: str) -> str:
     """The folded text, with a space at either end and for every sign."""
     text = text.lower()
-    if not text.isascii() and _ODD.search(text):
-        text = text.translate(_FOLD)
+    if not text.isascii():
+        # Accents, circles and the styles of mathematical letters go, then letters of other scripts are looked up.
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
+        if _ODD.search(text):
+            text = text.translate(_FOLD)
     if "@" in text or "$" in text or "!" in text or "|" in text:
         text = _SIGN.sub(lambda m: STAND_INS[m[0]], text)
     return " " + text.encode().translate(_BYTES).decode() + " "
@@ -102,7 +111,10 @@ class Matcher:
             elif start not in hits or hits[start][0] < weight:
                 hits[start] = weight, end
         if excused:
-            hits = {s: (w, e) for s, (w, e) in hits.items() if not any(a <= s and e <= b for a, b in excused)}
+            excused.sort()
+            begins, reach = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+            # Of the phrases that begin where a hit does or before, the one that reaches furthest tells whether any holds it.
+            hits = {s: (w, e) for s, (w, e) in hits.items() if not (k := bisect_right(begins, s)) or reach[k - 1] < e}
         return sum(w for w, _ in hits.values()), len(hits)
 
     def score(self, text: str) -> float:
