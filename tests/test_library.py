@@ -1,0 +1,220 @@
+"""The stored library: commits, batch and stream together, the registry, compaction, encoders, lookups."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.operators import encoders, fingerprint, library, report, vectors
+from textloom.operators.library import Library
+from textloom.session import Settings
+from textloom.streaming import index
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+
+
+def docs(spark, *rows):
+    return spark.createDataFrame(list(rows), "doc_id string, text string")
+
+
+def one(k, more=""):
+    return (k, f"word{k} {WORDS} {more}. And then there is a second sentence of {k}.")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema("doc_id string, text string").parquet(folder)
+
+
+def test_batch_stream_batch_lose_nothing(spark, tmp_path):
+    lib, folder = Library(spark, str(tmp_path / "lib")), str(tmp_path / "in")
+    a, b, c = docs(spark, one("a")), docs(spark, one("b"), one("a", "changed")), docs(spark, one("c"))
+    assert lib.add(a) == 0
+    b.write.parquet(folder)
+    index.grow_index(stream_of(spark, folder), str(tmp_path / "lib"), str(tmp_path / "cp")).awaitTermination()
+    assert lib.add(c) == 2
+    want = {tuple(r) for x in (a, b, c) for r in library.index(x).postings.collect()}
+    got = rows(lib.references().postings)
+    assert set(got) == want and len(got) == len(want)
+    # Vectors of a document that is added again are kept twice.
+    assert rows(lib.references().chunks.select("doc_id").groupBy("doc_id").count()) == [("a", 4), ("b", 2), ("c", 2)]
+    # A batch that runs again under its own number is added once.
+    assert lib.add(b, source=f"{tmp_path / 'cp'}:0") is None and len(lib.commits()) == 3
+    for bucketed in (False, True):
+        found = fingerprint.lookup(c, lib.references(bucketed).parts)
+        assert {r.doc_id for r in found.collect()} == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("failing", ["postings", "chunks"])
+def test_killed_writes_leave_nothing_to_read(spark, tmp_path, monkeypatch, failing):
+    lib = Library(spark, str(tmp_path))
+    lib.add(docs(spark, one("a")))
+    before = rows(lib.references().postings), rows(lib.references().chunks), rows(lib.registry())
+
+    def fail(*args, **options):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(*((fingerprint, "build_index") if failing == "postings" else (library, "chunk_vectors")), fail)
+        with pytest.raises(RuntimeError):
+            lib.add(docs(spark, one("b")))
+    assert (rows(lib.references().postings), rows(lib.references().chunks), rows(lib.registry())) == before
+    # A commit without an end counts as none, and its number is not given again.
+    (tmp_path / "commits" / f"{1:020d}.json").write_text("")
+    assert rows(lib.registry()) == before[2] and lib.add(docs(spark, one("b"))) == 2
+    assert len(lib.vacuum()) == 1 and {r[0] for r in rows(lib.registry())} == {"a", "b"}
+
+
+def test_two_writers_of_one_number(spark, tmp_path, monkeypatch):
+    """The later one sees what the other added: no posting comes twice."""
+    first, second = Library(spark, str(tmp_path)), Library(spark, str(tmp_path))
+    commit, once = Library._commit, []
+
+    def slow(self, number, what):
+        if self is first and not once:
+            once.append(second.add(docs(spark, one("a"))))
+        return commit(self, number, what)
+
+    monkeypatch.setattr(Library, "_commit", slow)
+    assert first.add(docs(spark, one("a"))) == 1 and once == [0]
+    got = rows(first.references().postings)
+    assert got == rows(library.index(docs(spark, one("a"))).postings) and len(got) == len(set(got))
+
+
+def test_compaction(spark, tmp_path):
+    lib = Library(spark, str(tmp_path))
+    assert lib.compact() is None and rows(lib.registry()) == []
+    for k in "abcab":
+        lib.add(docs(spark, one(k, f"text {len(lib.commits())}")))
+    before = rows(lib.references().postings), rows(lib.references().chunks), rows(lib.registry())
+    assert lib.compact(buckets=4) == 5 and [c["compacted"] for c in lib.commits()] == [True] and lib.compact() is None
+    assert (rows(lib.references().postings), rows(lib.references().chunks), rows(lib.registry())) == before
+    lib.add(docs(spark, one("d")))
+    assert [c["compacted"] for c in lib.commits()] == [True, False]
+    q = docs(spark, one("q"), one("a"))
+    want = rows(fingerprint.lookup(q, lib.references().postings))
+    # A session that did not compact reads the same buckets.
+    for t in spark.catalog.listTables():
+        if t.name.startswith("textloom_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    parts = lib.references(bucketed=True).parts
+    assert rows(fingerprint.lookup(q, parts)) == rows(fingerprint.lookup(q, parts, unique=True)) == want
+    # Nothing moves on the compacted side of the join.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q.join(parts[0], F.col("text") == F.col("hash"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+    assert len(lib.vacuum()) == 5 and rows(lib.references().postings) != []
+
+
+def test_registry_has_the_last_text(spark, tmp_path):
+    lib = Library(spark, str(tmp_path))
+    lib.add(docs(spark, one("a"), one("b"), ("", "no id at all here"), ("c", " \n")))
+    lib.add(docs(spark, one("a", "one"), one("a", "two")))
+    got = {r.doc_id: r for r in lib.registry().collect()}
+    assert set(got) == {"a", "b"} and got["b"].text == one("b")[1] and got["b"].n_tokens == 20
+    assert got["a"].text == min((one("a", "one")[1], one("a", "two")[1]), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert lib.add(docs(spark)) is None and lib.add(docs(spark, ("", "x"))) is None
+
+
+def test_encoders(spark, tmp_path):
+    other = encoders.register(encoders.Encoder("letters", 26, "tests.letters:make"))
+    wrong = encoders.Encoder("letters", 25, "tests.letters:make")
+    absent = encoders.register(encoders.Encoder("absent", 8, "tests.letters:make", ("no_such_module_at_all",)))
+    lib, d = Library(spark, str(tmp_path / "lib")), docs(spark, one("a"), one("b", "and some more"))
+    lib.add(d, settings=Settings(encoder="letters"))
+    # Stored with the index and used by searches of it.
+    assert lib.references().encoder.name == "letters" and len(lib.references().chunks.first().embedding) == 26
+    found = report.scan_full(d, lib.references()).select("doc_id", "semantic_matches").collect()
+    assert all(any(m.matched_doc == r.doc_id and m.similarity == 1 for m in r.semantic_matches) for r in found)
+    for e in (encoders.HASHED, wrong, absent):
+        with pytest.raises(ValueError, match="made by encoder letters"):
+            lib.add(d, encoder=e)
+    with pytest.raises(ValueError, match="k=5"):
+        lib.add(d, encoder=other, settings=Settings(winnow_k=4))
+    with pytest.raises(ValueError, match="no encoder named"):
+        library.index(d, settings=Settings(encoder="unheard of"))
+    with pytest.raises(Exception, match="26 places, not 25"):
+        library.index(d, encoder=wrong).chunks.collect()
+    with pytest.raises(Exception, match="were they made by one encoder"):
+        library.semantic_query(d, lib.references().chunks).collect()
+    # Off where it is not available: exact matches only.
+    off = Library(spark, str(tmp_path / "off"))
+    off.add(d, encoder=absent)
+    assert off.references().chunks is None and off.references().encoder.name == "absent" and library.index(d, encoder=absent).chunks is None
+    scanned = report.scan_full(d, off.references()).collect()
+    assert all(r.exact_matches and r.semantic_matches == [] for r in scanned)
+    # A factory runs once in a process.
+    assert other(["ab"]).shape == (1, 26) and other(["b"]).shape == (1, 26) and __import__("tests.letters", fromlist=["made"]).made == 1
+
+
+def test_scan_without_plagiarism_and_thresholds(spark):
+    d = docs(spark, one("a"))
+    scanned = report.scan_full(d, library.index(d), check_plagiarism=False).first()
+    assert scanned.exact_matches is None and scanned.semantic_matches is None
+    low = report.detect(d, premium=True, settings=Settings(high=0)).first()
+    assert low.fix and report.detect(d, premium=True, settings=Settings(high=101)).first().fix is None
+
+
+def test_heavy_hashes_are_split(spark):
+    phrase = "every document holds this very phrase of more than eight words in a row"
+    n = 400
+    d = spark.createDataFrame([(f"{k:03d}", f"own{k} words{k} of{k} document{k} number{k} here{k} so{k} it{k} is{k} {phrase}") for k in range(n)], "doc_id string, text string").repartition(4)
+    ix = fingerprint.build_index(d).cache()
+    heavy = {r.heavy for r in fingerprint.heavy_hashes(ix).collect()}
+    counts = {r.hash: r["count"] for r in ix.groupBy("hash").count().collect()}
+    total = sum(counts.values())
+    assert {h for h, c in counts.items() if c == n} <= heavy <= {h for h, c in counts.items() if c > 8}
+    want = rows(fingerprint.lookup(d, ix, unique=True))
+    assert len(want) == n * n and total
+    assert rows(fingerprint.lookup(d, ix, unique=True, split=True)) == want
+    assert rows(fingerprint.lookup(d.limit(5), [ix, ix.limit(0)], split=True)) == rows(fingerprint.lookup(d.limit(5), ix))
+    # Dealt by key and cell, the rows of each heavy hash are spread evenly.
+    h = sorted(heavy)[0]
+    cells = spark.createDataFrame([(f"{k:03d}",) for k in range(n)], "k string").select(F.pmod(F.xxhash64("k"), F.lit(fingerprint.SPLITS)).alias("c")).groupBy("c").count().collect()
+    assert h and max(c["count"] for c in cells) <= 3 * np.median([c["count"] for c in cells])
+
+
+def test_full_scan_matches_by_brute_force(spark):
+    """Contents of exact_matches and semantic_matches."""
+    import random
+
+    r = random.Random(3)
+    text = lambda: ". ".join(" ".join(r.choice(["red", "blue", "green", "dog", "cat", "sky"]) for _ in range(r.randint(3, 9))) for _ in range(5)) + "."
+    refs = [(f"r{i}", text()) for i in range(8)]
+    asked = [(f"q{i}", text() if i % 3 else refs[i][1] + " " + text()) for i in range(8)] + [("q0", refs[0][1]), (None, None)]
+    d = spark.createDataFrame(asked, "doc_id string, text string")
+    got = report.scan_full(d, library.index(docs(spark, *refs)), settings=Settings(similarity=0.6)).collect()
+    assert len(got) == len(asked)
+    cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", t.strip()) if len(s.split()) >= 4]
+    entries = sorted((f"{i}#{k:09d}", i, c) for i, t in refs for k, c in enumerate(cut(t)))
+    # Stored vectors have length 1, and a search sees to it once more: ties are decided by the last bits.
+    unit = lambda texts: vectors.unit(vectors.unit(encoders.hashed_encoder(texts)))
+    m = unit([c for _, _, c in entries])
+    of = {}
+    for _, t in asked:
+        hits = []
+        for c in cut(t or ""):
+            s = np.cumsum(unit([c]) * m, axis=1)[:, -1]
+            best = sorted(range(len(m)), key=lambda j: (-s[j], entries[j][0]))[:3]
+            hits += [(c, entries[j][1], entries[j][2], round(float(s[j]), 4)) for j in best if s[j] >= 0.6]
+        of[t or ""] = hits
+    texts = dict(asked)
+    for g in got:
+        if g.doc_id != "q0":
+            assert [tuple(x) for x in g.semantic_matches] == of[texts[g.doc_id] or ""]
+    assert sum(bool(g.semantic_matches) for g in got) > 5
+    ix = fingerprint.build_index(docs(spark, *refs))
+    shared = {(x.query_id, x.doc_id): x for x in fingerprint.lookup(d.dropna().dropDuplicates(["doc_id"]), ix).collect()}
+    for g in got:
+        if g.doc_id not in (None, "q0"):
+            assert {k: (v.shared_fingerprints, v.total_query_fingerprints, v.matched_positions, v.similarity) for k, v in g.exact_matches.items()} == {
+                b: (x.shared_fingerprints, x.total_query_fingerprints, x.matched_positions, round(x.similarity, 4)) for (a, b), x in shared.items() if a == g.doc_id
+            }

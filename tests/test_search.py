@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators.encoders import hashed_encoder
 from textloom.operators import fingerprint, library, vectors
 from textloom.sources import requests
 from textloom.sources.tables import csv_table
@@ -91,8 +92,8 @@ def test_registered_searches_build_without_jobs(spark, tmp_path):
 def test_library_grows_and_answers(spark, tmp_path):
     passages = ["Alpha beta gamma delta runs. Nothing here is like the rest of it.", "Some other words stand in this one!", "", None]
     docs = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(passages)], "ref string, body string")
-    library.append(library.index(docs, "ref", "body"), str(tmp_path))
-    library.append(library.index(docs.where("ref = 'r0'"), "ref", "body"), str(tmp_path))
+    library.append(docs, str(tmp_path), id_col="ref", text_col="body")
+    library.append(docs.where("ref = 'r0'"), str(tmp_path), id_col="ref", text_col="body")
     kept = library.stored(spark, str(tmp_path))
     # Postings count once, vectors of a document that comes again are there twice.
     assert kept.postings.count() == library.index(docs, "ref", "body").postings.count() and kept.chunks.count() == 5
@@ -124,11 +125,11 @@ def test_semantic_query_against_brute_force(spark):
     got = library.semantic_query(spark.createDataFrame(docs, "doc_id long, text string"), ix, threshold=0.5).collect()
     cut = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+", t.strip()) if len(s.split()) >= 4]
     entries = sorted((f"{i}#{k:09d}", str(i), c) for i, t in refs for k, c in enumerate(cut(t)))
-    m = vectors.unit(vectors.hashed_encoder([c for _, _, c in entries]))
+    m = vectors.unit(hashed_encoder([c for _, _, c in entries]))
     want = set()
     for i, t in docs:
         for k, c in enumerate(cut(t)):
-            s = np.cumsum(vectors.unit(vectors.hashed_encoder([c])) * m, axis=1)[:, -1]
+            s = np.cumsum(vectors.unit(hashed_encoder([c])) * m, axis=1)[:, -1]
             best = sorted(range(len(m)), key=lambda j: (-s[j], entries[j][0]))[:3]
             want |= {(i, k, c, entries[j][1], entries[j][2], n + 1) for n, j in enumerate(best) if s[j] >= 0.5}
     assert {(r.query_id, r.query_pos, r.query_chunk, r.matched_doc, r.matched_text, r.rank) for r in got} == want and want

@@ -186,7 +186,7 @@ def fingerprints(spark, d):
 
 def _matches(spark, d):
     index = fingerprint.build_index(table(spark, d, "benchmark"), "item_id")
-    return fingerprint.lookup(_docs(spark, d), index)
+    return fingerprint.lookup(_docs(spark, d), index, unique=True)
 
 
 @query

@@ -9,12 +9,17 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the library and of full scans; ``of`` reads those that a Spark setting ``textloom.<name>`` overrides."""
+    """Parameters of the library and of full scans; ``of`` reads those that a Spark setting ``textloom.<name>`` overrides.
+
+    encoder: the name of a registered encoder. high: the score from which a detection comes with tips.
+    """
 
     winnow_k: int = 5
     winnow_w: int = 4
     top_k: int = 3
     similarity: float = 0.75
+    encoder: str = "hashed"
+    high: int = 65
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:

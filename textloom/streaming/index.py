@@ -1,4 +1,8 @@
-"""A library that grows with a stream of documents, and lookups of a stream in it."""
+"""A library that grows with a stream of documents, and lookups of a stream in it.
+
+Null and blank texts are not taken in and match nothing. Repeated rows of a
+stream are documents added again. An empty batch commits nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators import fingerprint, library
+from textloom.operators.encoders import Encoder
 from textloom.session import Settings
 
 
-def grow_index(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), **trigger) -> StreamingQuery:
-    """Adds the postings and chunk vectors of a stream of documents to the library under folder.
+def grow_index(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), encoder: Encoder | None = None, **trigger) -> StreamingQuery:
+    """Adds a stream of documents to the library in a folder, which additions of tables may grow too.
 
-    A batch is written under its own number, so one that is run again after a failure replaces itself; documents seen
-    again leave repeated postings, which ``read_index`` removes.
+    A batch is committed under the stream's checkpoint and its own number: one that is run again after a failure is
+    added once, and what a failed run left is never read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        both = library.index(batch, id_col, text_col, settings=settings)
-        both.postings.write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
-        both.chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
+        library.Library(batch.sparkSession, folder).add(batch, id_col, text_col, encoder, settings, source=f"{checkpoint}:{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_index(spark: SparkSession, folder: str) -> library.References:
     """The library so far; each posting once."""
-    both = library.stored(spark, folder)
-    return library.References(both.postings, both.chunks.drop("batch"))
+    return library.stored(spark, folder)
 
 
 def match_stream(stream: DataFrame, postings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
