@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip and str.split see it.
@@ -23,6 +23,14 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
+def each(d: DataFrame, kept: list, array: Column | str, item: str, pos: str = "_pos") -> DataFrame:
+    """The kept columns of d, pos and item for each element of an array.
+
+    Not explode: Spark infers a filter on the array's size for it and pushes that down to the scan, where the array is computed a second time.
+    """
+    return d.select(*kept, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicon
-from textloom.functions.text import NOT_BEFORE, NOT_SPACE, SPACE, strip, word_count
+from textloom.functions.text import NOT_BEFORE, NOT_SPACE, SPACE, each, strip, word_count
 
 _DOT = "§DOT§"
 _ONE = "|".join(a[:-1] for a in lexicon.ABBREVIATIONS if a.count(".") == 1)
@@ -64,13 +64,13 @@ def cleaned_text(c: Column) -> Column:
 
 def paragraph_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carry: str) -> DataFrame:
     """A row per paragraph: id, whatever is carried, paragraph_id, text and its sentences."""
-    p = docs.select(id_col, *carry, F.explode(paragraphs(F.col(text_col))).alias("p"))
+    p = each(docs, [id_col, *carry], paragraphs(F.col(text_col)), "p")
     return p.select(id_col, *carry, "p.paragraph_id", "p.text", chunk_sentences(F.col("p.text")).alias("sentences"))
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per sentence: id, paragraph_id, index_in_para, sentence_id, text, word_count."""
-    s = paragraph_rows(docs, id_col, text_col).select(id_col, "paragraph_id", F.posexplode("sentences").alias("index_in_para", "text"))
+    s = each(paragraph_rows(docs, id_col, text_col), [id_col, "paragraph_id"], "sentences", "text", "index_in_para")
     return s.select(id_col, "paragraph_id", "index_in_para", sentence_id(F.col("paragraph_id"), F.col("index_in_para")).alias("sentence_id"), "text", word_count(F.col("text")).alias("word_count"))
 
 
@@ -111,8 +111,8 @@ def sentence_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """A row per sentence with char_start and char_end in the raw text; the search runs on from paragraph to paragraph."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), parsed(F.col(text_col)).alias("p"))
     d = d.select("id", "p", offsets(F.col("t"), F.transform("p", lambda p: p["sentences"])).alias("o"))
-    d = d.select("id", F.explode(F.arrays_zip("p", "o")).alias("x"))
-    d = d.select("id", "x.p.paragraph_id", F.posexplode(F.arrays_zip(F.col("x.p.sentences").alias("s"), F.col("x.o").alias("o"))).alias("i", "x"))
+    d = each(d, ["id"], F.arrays_zip("p", "o"), "x")
+    d = each(d, ["id", "x.p.paragraph_id"], F.arrays_zip(F.col("x.p.sentences").alias("s"), F.col("x.o").alias("o")), "x", "i")
     return d.select(
         F.col("id").alias(id_col), "paragraph_id", F.col("i").alias("index_in_para"), sentence_id(F.col("paragraph_id"), F.col("i")).alias("sentence_id"),
         F.col("x.s").alias("text"), word_count(F.col("x.s")).alias("word_count"), "x.o.char_start", "x.o.char_end",

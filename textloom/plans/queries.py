@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import preview, tokens, word_count
+from textloom.functions.text import each, preview, tokens, word_count
 from textloom.operators import chunk, fingerprint, library, normalize, rectify, report, scan, score, vectors
 from textloom.plans.planted import planted
 from textloom.sources import requests
@@ -46,12 +46,12 @@ def token_stats(spark, d):
 
 @query
 def token_frequency(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return each(_docs(spark, d), ["doc_id"], tokens(F.col("text")), "token").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query
 def sentences(spark, d):
-    return _planted(spark, d).select("doc_id", F.posexplode(chunk.detector_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+    return each(_planted(spark, d), ["doc_id"], chunk.detector_sentences(F.col("text")), "sentence", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 @query
@@ -68,7 +68,7 @@ def opener_mode(spark, d):
 def marker_hits(spark, d):
     f = _features(spark, d)
     both = F.concat(F.transform("_ai", lambda t: F.struct(F.lit("ai").alias("kind"), t.alias("token"))), F.transform("_human", lambda t: F.struct(F.lit("human").alias("kind"), t.alias("token"))))
-    return f.select("doc_id", F.explode(both).alias("x")).groupBy("doc_id", "x.kind", "x.token").agg(F.count("*").alias("n"))
+    return each(f, ["doc_id"], both, "x").groupBy("doc_id", "x.kind", "x.token").agg(F.count("*").alias("n"))
 
 
 @query
@@ -223,12 +223,12 @@ def knn_threshold(spark, d):
 
 @query
 def semantic_chunks(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(chunk.semantic_chunks(F.col("text"))).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+    return each(_docs(spark, d), ["doc_id"], chunk.semantic_chunks(F.col("text")), "chunk", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
 @query
 def semantic_chunks_by_space(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(chunk.semantic_chunks(F.col("text"), spaces_only=True)).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
+    return each(_docs(spark, d), ["doc_id"], chunk.semantic_chunks(F.col("text"), spaces_only=True), "chunk", "pos").select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
 @query
@@ -250,7 +250,7 @@ def rectify_score_delta(spark, d):
 
 @query
 def rectify_contractions(spark, d):
-    s = _planted(spark, d).select("doc_id", F.posexplode(chunk.chunk_sentences(F.col("text"))).alias("pos", "s"))
+    s = each(_planted(spark, d), ["doc_id"], chunk.chunk_sentences(F.col("text")), "s", "pos")
     return s.select("doc_id", F.col("pos").cast("long").alias("pos"), rectify.contractions(F.col("s")).alias("text"))
 
 
