@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import encoders, fingerprint, library, report, vectors
+from textloom.operators import encoders, fingerprint, library, report, sketches, vectors
 from textloom.operators.library import Library
 from textloom.session import Settings
 from textloom.streaming import index
@@ -218,3 +218,33 @@ def test_full_scan_matches_by_brute_force(spark):
             assert {k: (v.shared_fingerprints, v.total_query_fingerprints, v.matched_positions, v.similarity) for k, v in g.exact_matches.items()} == {
                 b: (x.shared_fingerprints, x.total_query_fingerprints, x.matched_positions, round(x.similarity, 4)) for (a, b), x in shared.items() if a == g.doc_id
             }
+
+
+def test_stream_scan_gives_results_per_query(spark, tmp_path):
+    lib, folder = Library(spark, str(tmp_path / "lib")), str(tmp_path / "in")
+    lib.add(docs(spark, one("a"), one("b")))
+    lib.compact(buckets=2)
+    lib.add(docs(spark, one("c", "and more")))
+    asked = docs(spark, one("a"), ("q", f"{WORDS} {WORDS}"), ("n", None), ("s", "short"), ("q", one("c")[1]))
+    asked.coalesce(1).write.parquet(folder)
+    run = lambda: index.scan_stream(stream_of(spark, folder), str(tmp_path / "lib"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    got = index.stream_matches(spark, str(tmp_path / "out")).drop("batch")
+    assert rows(got) == rows(fingerprint.lookup(asked, lib.references().postings)) != []
+    # A later batch sees what has come into the library since, and a stream that goes on repeats nothing.
+    lib.add(docs(spark, one("d")))
+    docs(spark, one("z")).write.mode("append").parquet(folder)
+    run()
+    out = index.stream_matches(spark, str(tmp_path / "out"))
+    assert {r.doc_id for r in out.where("query_id = 'z'").collect()} == {"a", "b", "c", "d"}
+    assert out.where("query_id <> 'z'").count() == got.count()
+
+
+def test_sketches(spark):
+    d = spark.createDataFrame([(i, f"s{i % 2}" if i % 5 else None, f"word{i} word{i + 1} shared tokens") for i in range(4000)] + [(-1, "s0", None)], "doc_id long, source string, text string")
+    parts = [sketches.token_sketches(d.where(F.col("doc_id") % 3 == r), "source") for r in range(3)]
+    got = {r.group: r.n_tokens for r in sketches.estimates(sketches.merged(*parts)).collect()}
+    assert got == {r.group: r.n_tokens for r in sketches.estimates(sketches.token_sketches(d, "source")).collect()}
+    exact = {r.source: r.n for r in d.select("source", F.explode(F.split("text", " ")).alias("t")).groupBy("source").agg(F.count_distinct("t").alias("n")).collect()}
+    assert set(got) == {None, "s0", "s1"} and all(abs(got[k] / exact[k] - 1) < 0.05 for k in got)
+    assert sketches.token_sketches(d.limit(0), "source").count() == 0

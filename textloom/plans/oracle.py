@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom import lexicon
-from textloom.operators import report
+from textloom.operators import report, scan, score
 from textloom.plans.planted import SQL as SRC
 from textloom.plans.planted import quoted
 
@@ -246,3 +246,26 @@ SQL["heatmap_with_offsets"] = (
 CASE WHEN n < 3 THEN '' ELSE array_to_string(list_sort(list_distinct(ai)), ',') END AS ai_markers, CASE WHEN n < 3 THEN '' ELSE array_to_string(canned, ',') END AS robotic_phrases
 FROM e JOIN o ON e.doc_id = o.doc_id AND e.paragraph_id = o.paragraph_id AND e.index_in_para = o.index_in_para"""
 )
+SQL["full_scan_contents"] = (
+    DOCUMENTS + ", sp AS (SELECT doc_id, t AS text FROM spaced),\n" + winnowed("sp", "doc_id") + ",\n" + winnowed("benchmark", "item_id") + f""",
+q_x AS (SELECT DISTINCT doc_id, hash FROM fp_sp), t_x AS (SELECT doc_id, count(*) AS total FROM q_x GROUP BY doc_id),
+m_x AS (SELECT q.doc_id, b.doc_id::VARCHAR AS k, count(*) AS shared, any_value(total) AS total, array_to_string(list_sort(list(b.pos))[1:10], '+') AS places FROM q_x q JOIN t_x ON q.doc_id = t_x.doc_id JOIN fp_benchmark b ON q.hash = b.hash GROUP BY q.doc_id, b.doc_id),
+e_x AS (SELECT doc_id, string_agg(k || ':' || shared || '/' || total || '@' || places, ';' ORDER BY k) AS exact FROM m_x GROUP BY doc_id),
+h_x AS (SELECT doc_id, string_agg(sentence_id || ':' || ai_score || ':' || severity, ';' ORDER BY paragraph_id, index_in_para) AS heat FROM e GROUP BY doc_id),
+r_x AS (SELECT doc_id, CASE WHEN n < 15 THEN {quoted(score.SHORT_REASON)} ELSE array_to_string({REASONS}, ';') END AS reasons FROM s)
+SELECT y.doc_id, coalesce(exact, '') AS exact, CASE WHEN total_words < 15 THEN {quoted(scan.SHORT_REASON)} ELSE coalesce(reasons, {quoted(score.SHORT_REASON)}) END AS reasons, CASE WHEN total_words < 15 THEN '' ELSE coalesce(heat, '') END AS heatmap
+FROM y LEFT JOIN e_x ON y.doc_id = e_x.doc_id LEFT JOIN h_x ON y.doc_id = h_x.doc_id LEFT JOIN r_x ON y.doc_id = r_x.doc_id"""
+)
+_FULL = f"regexp_matches(text, '[^{WS}]')"
+SQL["library_registry"] = f"""
+WITH b AS (SELECT item_id::VARCHAR AS doc_id, text FROM benchmark WHERE {_FULL}), d AS (SELECT doc_id::VARCHAR AS doc_id, text FROM documents WHERE {_FULL}),
+r AS (SELECT * FROM d UNION ALL SELECT * FROM b WHERE doc_id NOT IN (SELECT doc_id FROM d))
+SELECT doc_id, text, len({TOKENS.replace('lower(t)', 'lower(text)')})::BIGINT AS n_tokens FROM r"""
+_GROWN = winnowed("documents", "doc_id") + ",\n" + winnowed("benchmark", "item_id") + ",\nlib AS (SELECT hash, doc_id::VARCHAR AS doc_id, pos FROM fp_documents UNION SELECT hash, doc_id::VARCHAR, pos FROM fp_benchmark)"
+SQL["library_postings"] = "WITH " + _GROWN + " SELECT hash, doc_id, pos FROM lib"
+SQL["library_matches"] = "WITH " + _GROWN + """,
+q AS (SELECT DISTINCT doc_id AS query_id, hash FROM fp_benchmark), n AS (SELECT query_id, count(*) AS total FROM q GROUP BY query_id)
+SELECT q.query_id, lib.doc_id, count(*) / any_value(total)::DOUBLE AS similarity, count(*) AS shared, any_value(total) AS total, array_to_string(list_sort(list(lib.pos))[1:10], ',') AS positions
+FROM q JOIN n ON q.query_id = n.query_id JOIN lib ON q.hash = lib.hash GROUP BY q.query_id, lib.doc_id"""
+SQL["knn_pruned"] = SQL["knn_topk"]
+SQL["distinct_token_sketches"] = f"SELECT source, count(DISTINCT token) AS n_tokens, TRUE AS close FROM (SELECT source, unnest({TOKENS.replace('lower(t)', 'lower(text)')}) AS token FROM documents) GROUP BY source"

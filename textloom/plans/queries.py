@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import each, preview, tokens, word_count
-from textloom.operators import chunk, fingerprint, library, normalize, rectify, report, scan, score, vectors
+from textloom.operators import chunk, fingerprint, library, normalize, pruned, rectify, report, scan, score, sketches, vectors
 from textloom.plans.planted import planted
 from textloom.sources import requests
+from textloom.sources.folders import shared_folder
 from textloom.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,3 +353,57 @@ def fingerprint_rank(spark, d):
     return m.select("query_id", "doc_id", "similarity", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")).cast("long").alias("rank"))
 
 
+
+def _grown(spark, d):
+    """A library that got the benchmark, then the documents, whose ids are partly the same, and was compacted in between."""
+    lib = library.Library(spark, shared_folder(spark))
+    lib.add(table(spark, d, "benchmark"), "item_id")
+    lib.compact()
+    lib.add(_docs(spark, d))
+    return lib
+
+
+@query
+def library_registry(spark, d):
+    """Each document of a library as of its last addition."""
+    return _grown(spark, d).registry().select("doc_id", "text", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@query
+def library_postings(spark, d):
+    """Postings of a library: texts added again keep their old ones, and none comes twice."""
+    return _grown(spark, d).references().postings.select("hash", "doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def library_matches(spark, d):
+    """Which documents of a library share what with the benchmark's: each part of its postings is joined as it lies, and heavy hashes are split."""
+    m = fingerprint.lookup(table(spark, d, "benchmark"), _grown(spark, d).references().parts, "item_id", unique=True, split=True)
+    return m.select("query_id", "doc_id", "similarity", F.col("shared_fingerprints").cast("long").alias("shared"), F.col("total_query_fingerprints").cast("long").alias("total"), F.array_join("matched_positions", ",").alias("positions"))
+
+
+@query
+def knn_pruned(spark, d):
+    """knn_topk by the index that opens only blocks that can hold a neighbour."""
+    e = table(spark, d, "embeddings")
+    index = pruned.build(e, shared_folder(spark))
+    return index.search(e.where("vec_id % 50 = 0"), k=3).select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "similarity")
+
+
+@query
+def distinct_token_sketches(spark, d):
+    """Different tokens by source: exact, and whether sketches of two batches, merged, come within 5 percent."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    halves = [sketches.token_sketches(docs.where(F.pmod(F.col("doc_id"), F.lit(2)) == r), "source") for r in range(2)]
+    about = sketches.estimates(sketches.merged(*halves)).select(F.col("group").alias("g"), F.col("n_tokens").alias("about"))
+    exact = each(docs, ["source"], tokens(F.coalesce("text", F.lit(""))), "token").groupBy("source").agg(F.count_distinct("token").alias("n_tokens"))
+    both = exact.join(about, F.col("source").eqNullSafe(F.col("g")))
+    return both.select("source", "n_tokens", (F.abs(F.col("about") / F.col("n_tokens") - 1) <= 0.05).alias("close"))
+
+
+@query
+def full_scan_contents(spark, d):
+    """What a full scan lists for each document: matches in the library by hash and by vector, as strings."""
+    r = report.scan_full(_spaced(spark, d), library.index(table(spark, d, "benchmark"), "item_id"), entities=False)
+    exact = F.array_join(F.transform(F.array_sort(F.map_entries("exact_matches")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["shared_fingerprints"], F.lit("/"), e["value"]["total_query_fingerprints"], F.lit("@"), F.array_join(e["value"]["matched_positions"], "+"))), ";")
+    return r.select("doc_id", exact.alias("exact"), F.array_join("reasons", ";").alias("reasons"), F.array_join(F.transform("sentence_heatmap", lambda s: F.concat(s["sentence_id"], F.lit(":"), s["ai_score"], F.lit(":"), s["severity"])), ";").alias("heatmap"))

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes df to a new shared folder and reads it back: it is computed once, and lost executors cost nothing of it."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class Files:
     """The few operations on small files that a commit log needs, on any store that Spark reads."""
 

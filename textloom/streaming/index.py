@@ -33,6 +33,27 @@ def read_index(spark: SparkSession, folder: str) -> library.References:
     return library.stored(spark, folder)
 
 
+def scan_stream(stream: DataFrame, folder: str, target: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), **trigger) -> StreamingQuery:
+    """Looks up a stream of documents in the library and writes a row per (query_id, doc_id) that share fingerprints, with similarity and totals, to target.
+
+    All rows of a query come in one batch, so its result is complete with it and no state is kept over batches. Each batch
+    sees the library as it is then, and joins its compacted postings as they lie. A batch that runs again replaces its
+    own rows. Documents of one batch that share an id count as one.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        references = library.stored(batch.sparkSession, folder, bucketed=True)
+        found = fingerprint.lookup(batch, references.parts, id_col, text_col, settings.winnow_k, settings.winnow_w)
+        found.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_matches(spark: SparkSession, target: str) -> DataFrame:
+    """What scan_stream has written so far."""
+    return spark.read.parquet(target)
+
+
 def match_stream(stream: DataFrame, postings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stream of (query_id, doc_id, pos): the stream's fingerprints joined to a static index. No state is kept."""
     q = fingerprint.fingerprints(stream, id_col, text_col).select(F.col(id_col).alias("query_id"), "hash")
