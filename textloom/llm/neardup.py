@@ -248,8 +248,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.select(id_col, "class_id", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)).alias("is_first"))
 
 
-def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between ids of different texts, enough of them to join every class; copies of one text are not listed."""
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, with_similarity: bool = False) -> DataFrame:
+    """Verified links (a, b) between ids of different texts, enough of them to join every class; copies of one text are not listed.
+
+    with_similarity: also jaccard, of the sets of shingles, and probability, the probability Jaccard similarity of the weighted
+    shingles that sketches estimate, both exact.
+    """
     tb.bound_batches(docs.sparkSession)
     with scratch.passing(docs.sparkSession):
         sketched = scratch.write(_sketched(docs, id_col, text_col))
@@ -258,7 +262,30 @@ def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str
         edges = _links(docs, sketched, reps, id_col, text_col, threshold)
         if edges is None:
             edges = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
-        return scratch.kept(edges.distinct())
+        edges = edges.distinct()
+        return scratch.kept(link_similarities(edges, docs, id_col, text_col) if with_similarity else edges)
+
+
+def link_similarities(links: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """links (a, b) between ids of docs with the exact jaccard and probability Jaccard similarity of their texts; of several texts of an id that of smallest SHA-256 counts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # Pair by pair: a link's two texts, however long, are what a task holds.
+                text, gram, count = shingles(*tb.column_bytes(pa.array([batch.column(c)[i].as_py() for c in (2, 3)], pa.large_string())))
+                sides = []
+                for d in range(2):
+                    own, many = gram[text == d], weights(count[text == d])
+                    order = np.argsort(own)
+                    sides.append((own[order], many[order]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([jaccard(sides[0][0], sides[1][0])]), pa.array([probability_jaccard(*sides)])], names=["a", "b", "jaccard", "probability"])
+
+    left, right = texts.withColumnsRenamed({"id": "ia", "text": "ta"}), texts.withColumnsRenamed({"id": "ib", "text": "tb"})
+    joined = links.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "ta", "tb")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}, jaccard double, probability double")
 
 
 def _links(docs: DataFrame, sketched: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame | None:
