@@ -248,3 +248,13 @@ def test_sketches(spark):
     exact = {r.source: r.n for r in d.select("source", F.explode(F.split("text", " ")).alias("t")).groupBy("source").agg(F.count_distinct("t").alias("n")).collect()}
     assert set(got) == {None, "s0", "s1"} and all(abs(got[k] / exact[k] - 1) < 0.05 for k in got)
     assert sketches.token_sketches(d.limit(0), "source").count() == 0
+
+
+def test_chunks_of_a_document_added_twice(spark, tmp_path):
+    """Each of its texts is matched as it stands."""
+    lib = Library(spark, str(tmp_path))
+    lib.add(docs(spark, ("a#1", "The first text of it says this here."), ("b", "Unlike all else, that is so.")))
+    lib.add(docs(spark, ("a#1", "Quite another text came in its place later.")))
+    q = docs(spark, ("1", "The first text of it says this here. Quite another text came in its place later."))
+    found = library.semantic_query(q, lib.references().chunks, threshold=0.99).collect()
+    assert sorted((r.query_pos, r.matched_doc, r.matched_text) for r in found) == [(0, "a#1", "The first text of it says this here."), (1, "a#1", "Quite another text came in its place later.")]
