@@ -1,4 +1,4 @@
-"""Sessions and settings."""
+"""Sessions and settings. A setting that is not given has its default; one that is no number where a number is asked for is an error."""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Tables of a folder of Parquet files, and CSV files."""
+"""Tables of a folder of Parquet files, and CSV files.
+
+Rows come as they are stored: nulls stay null, repeated rows stay, and a table
+without rows is an empty table with its schema. An empty CSV field is null.
+"""
 
 from __future__ import annotations
 
