@@ -49,8 +49,8 @@ from textloom.llm import textbytes as tb
 from textloom.llm.pieces import public_model
 
 BYTE_MODEL = "byte_bpe_50k.json"
-#: Bytes of the texts of a block.
-BLOCK = 4_000_000
+#: Bytes of the texts of a block. A token of one byte takes about 150 bytes of a worker's memory.
+BLOCK = 2_000_000
 MARK = "\u2581"
 #: Fixed value: where byte-level tokenizers of this family cut texts before they merge bytes.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -265,17 +265,17 @@ class Aligned:
 
 
 def _blocks(batches, limit: int):
-    """Lists of (id, text) of about so many bytes."""
+    """Lists of ids and of texts, of whole texts of about so many bytes of UTF-8 together."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for k, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            t = t or ""
-            if texts and size + len(t) > limit:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        for k, t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lengths, strict=True):
+            if texts and size + n > limit:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-            ids.append(k.as_py())
-            texts.append(t)
-            size += len(t)
+            ids.append(k)
+            texts.append(t or "")
+            size += n
     if texts:
         yield ids, texts
 
