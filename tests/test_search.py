@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators.encoders import hashed_encoder
-from textloom.operators import fingerprint, library, vectors
+from textloom.operators import blocks, fingerprint, library, vectors
 from textloom.sources import requests
 from textloom.sources.tables import csv_table
 from textloom.streaming import index
@@ -58,6 +58,12 @@ def test_knn(spark):
         vectors.knn(longer, d).collect()
 
 
+def test_shape_of_cells(spark):
+    small, large = spark.range(10), spark.range(10**8)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks.shape(small, large) == (1, n) and blocks.shape(large, small) == (n, 1) and blocks.shape(large, large)[0] == round(n**0.5)
+
+
 def test_knn_takes_the_smallest_ids_of_many_equal_vectors(spark):
     rows = [(i, [0.6, 0.8]) for i in range(1000, 600, -1)] + [(i, [1.0, 0.0]) for i in range(600, 300, -1)] + [(5, [0.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
