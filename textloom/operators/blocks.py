@@ -85,7 +85,7 @@ def sides(df: DataFrame) -> int:
 def shape(left: DataFrame, right: DataFrame) -> tuple[int, int]:
     """Groups of the two sides, about as many cells as shuffle partitions, so that the least is copied by the planner's estimate of their sizes: a small side comes whole to each part of a large one, which is then not copied at all."""
     cells = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a, b = (max(1, int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())) for d in (left, right))
+    a, b = (max(1, int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) for d in (left, right))
     groups = min(cells, max(1, round(math.sqrt(cells * a / b))))
     return groups, -(-cells // groups)
 
