@@ -129,3 +129,48 @@ def test_fixed_rounds_as_python(spark):
     xs = [8.125, 9.995, 12.345, 123.455, 1000.005, 4095.625, 99.995, 17.0, 0.715, 0.125, 0.375, 0.285, 0.145, 0.155, 0.5, 1.005, 2.675, 0.3333, 0.0]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i")
     assert [r.y for r in d.select(fixed(F.col("x"), 2).alias("y")).collect()] == [f"{x:.2f}" for x in xs]
+
+
+def test_ends_and_breaks_beside_plain_patterns(spark):
+    """What looks at the ends of a text, or begins with what is rare, gives what plain patterns give, of all white space and glued words."""
+    import re
+
+    from textloom.functions import text
+    from textloom.operators import chunk
+
+    odd = [" a ", " 　x y\u0085\n", "\x1c\x1f", "", "no", "​kept​", "a.B.C aBcD eF", "Hi! \n\tYou?  Me. x", "Dr. Who e.g.A b.  C d", "\u0085a. \u0085B c"]
+    blank = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    got = d.select("i", text.strip(F.col("t")).alias("s"), text.lstrip(F.col("t")).alias("l"), chunk.detector_sentences(F.col("t")).alias("d")).orderBy("i").collect()
+    for row, t in zip(got, odd, strict=True):
+        assert (row.s, row.l) == (t.strip(), t.lstrip())
+        parts = re.split(rf"(?<=[.!?]){blank}+", re.sub("([a-z])([A-Z])", r"\1. \2", t).strip())
+        assert row.d == [p.strip() for p in parts if len(p.split()) >= 2]
+
+
+def test_patterns_do_not_look_back_at_each_place():
+    """A look-behind at the front of a pattern is tried at each place of a text; trimming uses no pattern."""
+    from textloom.functions import text
+    from textloom.operators import chunk
+
+    assert "regexp" not in str(text.strip(F.col("t"))) and "regexp" not in str(chunk.lstrip(F.col("t")))
+    assert not any(p.startswith("(?<") for p in (chunk._CASE, chunk._GLUED, chunk._GAP, text.bounded("it is")))
+
+
+def test_arrow_batches_are_bounded(spark):
+    """Scans lower the rows and bytes that a Python worker gets at a time, unless somebody set them."""
+    from textloom.operators import scan
+
+    keys = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        scan.document_scan(spark.createDataFrame([(1, "a b")], "doc_id int, text string"))
+        assert [spark.conf.get(k) for k in keys] == ["1000", "4m"]
+        spark.conf.set(keys[0], "7")
+        scan.document_scan(spark.createDataFrame([(1, "a b")], "doc_id int, text string"))
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
