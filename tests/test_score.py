@@ -158,3 +158,28 @@ def test_gate(spark):
     assert "rectified_text" not in report.detect(docs).columns
     r = report.detect(docs, premium=True).first()
     assert r.rectified_text and r.fix
+
+
+def test_premium_results_compute_their_steps_once(spark):
+    """The text is scored once before and once after it is rewritten, on its own row: no join in a detection, and no step copied into the places that use it."""
+    d = spark.createDataFrame([(1, AI), (1, AI), (2, None)], "doc_id int, text string")
+    for made, scans in ((report.detect(d, premium=True), 0), (rectify.rectify(d), 0), (report.scan_full(d, premium=True), 1)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate [" not in plan
+        # Sentences of a normalised text are split at one place for each text that is scored.
+        assert plan.count("[ \\n](?<=[.!?][ \\n])[ \\n]*") == 2 + scans
+
+
+def test_matches_join_before_scans(spark):
+    """A full scan shuffles texts, not what is made of them, and deals copies of a text to several tasks."""
+    from textloom.operators import library
+
+    d = spark.createDataFrame([(i, AI) for i in range(40)], "doc_id int, text string")
+    refs = library.index(spark.createDataFrame([("r", AI)], "doc_id string, text string"))
+    full = report.scan_full(d, refs)
+    plan = full._jdf.queryExecution().optimizedPlan().toString()
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join LeftOuter" in line]
+    scored = [i for i, line in enumerate(plan.splitlines()) if "_score#" in line]
+    assert joins and max(scored) < min(joins)
+    rows = full.collect()
+    assert len(rows) == 40 and all(r.exact_matches["r"].similarity == 1.0 and r.semantic_matches for r in rows)
