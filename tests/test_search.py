@@ -173,3 +173,13 @@ def test_stream_grows_the_index(spark, tmp_path):
     q = index.match_stream(stream, both.postings).writeStream.format("memory").queryName("m").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("m").where("query_id = doc_id").count() >= 4
+
+
+def test_shingles_lay_no_runs_side_by_side(spark):
+    """A run's tokens are taken by place; hashes are those of the joined words, and texts that are too short have none."""
+    words = [f"w{i}" for i in range(9)]
+    d = spark.createDataFrame([(1, words), (2, words[:4]), (3, [])], "i int, tk array<string>")
+    made = fingerprint.shingle_hashes(F.col("tk"))
+    assert "arrays_zip" not in str(made)
+    got = [r.h for r in d.select("i", made.alias("h")).orderBy("i").collect()]
+    assert got == [[hashlib.md5(" ".join(words[i : i + 5]).encode()).hexdigest()[:16] for i in range(5)], [], []]
