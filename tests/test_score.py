@@ -172,8 +172,6 @@ def test_premium_results_compute_their_steps_once(spark):
 
 def test_matches_join_before_scans(spark):
     """A full scan shuffles texts, not what is made of them, and deals copies of a text to several tasks."""
-    from textloom.operators import library
-
     d = spark.createDataFrame([(i, AI) for i in range(40)], "doc_id int, text string")
     refs = library.index(spark.createDataFrame([("r", AI)], "doc_id string, text string"))
     full = report.scan_full(d, refs)

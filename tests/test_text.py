@@ -133,10 +133,7 @@ def test_fixed_rounds_as_python(spark):
 
 def test_ends_and_breaks_beside_plain_patterns(spark):
     """What looks at the ends of a text, or begins with what is rare, gives what plain patterns give, of all white space and glued words."""
-    import re
-
     from textloom.functions import text
-    from textloom.operators import chunk
 
     odd = [" a ", " 　x y\u0085\n", "\x1c\x1f", "", "no", "​kept​", "a.B.C aBcD eF", "Hi! \n\tYou?  Me. x", "Dr. Who e.g.A b.  C d", "\u0085a. \u0085B c"]
     blank = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]"
@@ -151,7 +148,6 @@ def test_ends_and_breaks_beside_plain_patterns(spark):
 def test_patterns_do_not_look_back_at_each_place():
     """A look-behind at the front of a pattern is tried at each place of a text; trimming uses no pattern."""
     from textloom.functions import text
-    from textloom.operators import chunk
 
     assert "regexp" not in str(text.strip(F.col("t"))) and "regexp" not in str(chunk.lstrip(F.col("t")))
     assert not any(p.startswith("(?<") for p in (chunk._CASE, chunk._GLUED, chunk._GAP, text.bounded("it is")))
