@@ -76,3 +76,11 @@ def test_scans_look_no_words_up_in_lambdas(spark):
     got = {r.text: (r.word_count, r.ai_markers) for r in scan.heatmap(d).collect()}
     assert got == {TEXT + ".": (16, []), "Furthermore, we delve.": (3, ["delve", "furthermore"]), "Short one here.": (3, [])}
     assert scan.heatmap(d.where(F.col("doc_id") == 2)).collect() == []
+
+
+def test_words_of_sentences_are_counted_without_splitting(spark):
+    text = "one two\nthree  four.\n\nfive \n six seven!\n \neight nine, ten eleven twelve? " + "w " * 9 + "end."
+    d = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    f = score.features(d)
+    assert r"[ \n]+, -1" not in optimized(f) and "regexp_extract_all" not in optimized(f)
+    assert [r._wc for r in f.orderBy("_row.doc_id").collect()] == [[4, 3, 5, 10], []]
