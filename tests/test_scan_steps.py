@@ -84,3 +84,12 @@ def test_words_of_sentences_are_counted_without_splitting(spark):
     f = score.features(d)
     assert r"[ \n]+, -1" not in optimized(f) and "regexp_extract_all" not in optimized(f)
     assert [r._wc for r in f.orderBy("_row.doc_id").collect()] == [[4, 3, 5, 10], []]
+
+
+def test_premium_scans_split_texts_once(spark):
+    d = spark.createDataFrame([(1, f"{TEXT}. Furthermore, we delve.Into it.\n\nA second paragraph, e.g. this one.")], "doc_id int, text string")
+    full = report.scan_full(d, premium=True)
+    # The pattern of stops that glue two sentences together.
+    assert optimized(full).count(r"\.(?=[A-Z])(?<=[a-z0-9]\.)") == 1
+    assert [s.text for s in full.first().sentence_heatmap] == [f"{TEXT}.", "Furthermore, we delve.", "Into it.", "A second paragraph, e.g. this one."]
+    assert full.first().rectified_text == report.detect(d, premium=True).first().rectified_text
